@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-import pyspark.sql.functions as F
 import regex
 
+from colloquy.functions.lazy import arrow
+
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 _MARK = regex.compile(r"\p{M}+")
@@ -30,13 +30,13 @@ def words(text: str | None, accents: bool = True) -> list[str]:
     return _WORD.findall(text)
 
 
-@F.pandas_udf("array<string>")
-def words_of(text: pd.Series) -> pd.Series:
+@arrow("array<string>")
+def words_of(texts: list) -> list:
     """Column form of ``words``."""
-    return text.map(words)
+    return [words(t) for t in texts]
 
 
-@F.pandas_udf("array<string>")
-def plain_words_of(text: pd.Series) -> pd.Series:
+@arrow("array<string>")
+def plain_words_of(texts: list) -> list:
     """Column form of ``words`` without accents."""
-    return text.map(lambda t: words(t, accents=False))
+    return [words(t, accents=False) for t in texts]
