@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 import pyspark.sql.functions as F
 import regex
 from pyspark.sql import DataFrame
 
+from colloquy.functions.lazy import arrow
 from colloquy.session import spread
 
 #: Where the public vocabularies lie; a parameter, as the files are never part of the repository.
@@ -163,23 +162,23 @@ def vocabulary(path: str) -> Vocabulary:
 def encoded(df: DataFrame, text: str = "text", ids: str = "ids", path: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
     """``df`` with a column of ids; one pass, no shuffle. Other columns go through untouched, clashing ``ids`` is replaced."""
 
-    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @arrow("array<int>")
+    def each(texts: list) -> list:
         encode = vocabulary(path).encode
-        for batch in batches:
-            yield pa.array([None if t is None else encode(t) for t in batch.to_pylist()], pa.list_(pa.int32()))
+        return [None if t is None else encode(t) for t in texts]
 
-    return df.withColumn(ids, F.arrow_udf(each, "array<int>")(F.col(text)))
+    return df.withColumn(ids, each(F.col(text)))
 
 
 def decoded(df: DataFrame, ids: str = "ids", text: str = "text", path: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
     """The inverse: null for null, bytes that are no UTF-8 (cut id lists) are replaced."""
 
-    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @arrow("string")
+    def each(lists: list) -> list:
         decode = vocabulary(path).decode
-        for batch in batches:
-            yield pa.array([None if i is None else decode(np.asarray(i, dtype=np.int64)).decode("utf-8", "replace") for i in batch.to_pylist()], pa.string())
+        return [None if i is None else decode(np.asarray(i, dtype=np.int64)).decode("utf-8", "replace") for i in lists]
 
-    return df.withColumn(text, F.arrow_udf(each, "string")(F.col(ids)))
+    return df.withColumn(text, each(F.col(ids)))
 
 
 def ids_of(documents: DataFrame, path: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
