@@ -40,30 +40,39 @@ def _fold_one(char: str) -> str:
 
 
 class Folds:
-    """The skip-and-fold table: for each code point nothing, one code point, or a run of several."""
+    """The skip-and-fold table: for each code point nothing, one code point, or a run of several.
+
+    A worker fills in the code points it meets, so the table costs nothing for scripts that don't occur.
+    """
 
     def __init__(self) -> None:
+        self.known = np.zeros(0x110000, bool)
         self.first = np.zeros(0x110000, np.int64)
         self.count = np.zeros(0x110000, np.int64)
-        self.more: list[int] = []
         self.rank = np.zeros(0x110000, np.uint8)
-        for point in range(0x110000):
-            char = chr(point)
-            kind = unicodedata.category(char)
-            if kind in ("Cn", "Co", "Cs"):
-                continue
-            self.rank[point] = unicodedata.combining(char)
-            run = _fold_one(char)
-            self.count[point] = len(run)
-            if len(run) == 1:
-                self.first[point] = ord(run)
-            elif run:
-                self.first[point] = len(self.more)
-                self.more += map(ord, run)
-        self.runs = np.array(self.more or [0], np.int64)
+        self.runs = np.zeros(0, np.int64)
+
+    def learn(self, points: np.ndarray) -> np.ndarray:
+        """``points``, all of them known from now on."""
+        fresh = points[~self.known[points]]
+        if len(fresh):
+            more: list[int] = []
+            for point in np.unique(fresh).tolist():
+                char = chr(point)
+                self.known[point] = True
+                self.rank[point] = unicodedata.combining(char)
+                run = "" if unicodedata.category(char) in ("Cn", "Co", "Cs") else _fold_one(char)
+                self.count[point] = len(run)
+                if len(run) == 1:
+                    self.first[point] = ord(run)
+                elif run:
+                    self.first[point] = len(self.runs) + len(more)
+                    more += map(ord, run)
+            self.runs = np.concatenate([self.runs, np.array(more, np.int64)])
+        return points
 
     def stream(self, text: str) -> Iterator[int]:
-        for point in map(ord, text):
+        for point in self.learn(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).tolist():
             n = self.count[point]
             if n == 1:
                 yield int(self.first[point])
@@ -80,7 +89,7 @@ def _in_order(text: str) -> str:
     """Puts runs of combining marks into canonical order; nearly all texts come back as they are."""
     if text.isascii():
         return text
-    ranks = folds().rank[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    ranks = folds().rank[folds().learn(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))]
     if bool(((ranks[1:] > 0) & (ranks[:-1] > ranks[1:])).any()):
         return unicodedata.normalize("NFKD", text)
     return text
@@ -114,7 +123,7 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, hash, folded length) of each text, all texts of a batch at once."""
     table = folds()
     sizes = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = table.learn(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
     row = np.repeat(np.arange(len(texts)), sizes)
     n = table.count[points]
     keep = n > 0
@@ -123,7 +132,7 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if (wide := n > 1).any():
         at = np.repeat(np.arange(len(points)), n)
         inside = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        codes = np.where(wide[at], table.runs[np.where(wide[at], codes[at] + inside, 0)], codes[at])
+        codes = np.where(wide[at], table.runs[np.where(wide[at], codes[at] + inside, 0)] if len(table.runs) else 0, codes[at])
         row = row[at]
     lengths = np.bincount(row, minlength=len(texts)).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
