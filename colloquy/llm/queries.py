@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import encode, formatting
+from colloquy.llm import encode, formatting, overlap
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.ids_of(table(spark, d, "documents"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "intents"), table(spark, d, "eval_queries"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    intents, held = table(spark, d, "intents"), table(spark, d, "eval_queries")
+    return overlap.coverage(overlap.found(intents, held), intents, held)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.found(table(spark, d, "intents"), table(spark, d, "eval_queries"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
