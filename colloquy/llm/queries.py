@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import encode, formatting, overlap
+from colloquy.llm import encode, formatting, leaks, overlap
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.found(table(spark, d, "intents"), table(spark, d, "eval_queries"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.report(p8_found(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
