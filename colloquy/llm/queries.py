@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import encode, formatting, leaks, overlap
+from colloquy.llm import encode, formatting, leaks, overlap, sentences
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(p8_found(spark, d), table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
