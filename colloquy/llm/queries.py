@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import encode, formatting, leaks, overlap, sentences
+from colloquy.llm import encode, formatting, language, leaks, overlap, sentences
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.coverage(overlap.found(intents, held), intents, held)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "intents"), table(spark, d, "chat_logs"))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.labelled(table(spark, d, "intents"), table(spark, d, "chat_logs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.found(table(spark, d, "intents"), table(spark, d, "eval_queries"))
 
@@ -42,7 +50,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

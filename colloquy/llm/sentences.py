@@ -116,7 +116,7 @@ def tables(caseless: bool) -> list[Rule]:
     else:
         out.append(_rule("general", True, r"[\p{Lo}\p{M}][!?.]+", r"\s+\S"))
         out.append(_rule("general", True, r"[.!?…]+", rf"\s+{_STARTS}"))
-        out.append(_rule("general", True, r"\p{Ll}{4}[.]", r"\s+\p{Ll}"))
+        out.append(_rule("general", True, r"\p{L}{2}\p{Ll}{2}[.]", r"\s+\p{Ll}"))
         out.append(_rule("general", False, r"[.!?…]+", r"\s+\S"))
     return out
 
