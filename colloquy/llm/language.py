@@ -35,9 +35,13 @@ PER_LABEL, DICTIONARY_BYTES = 2_500, 64_000
 LEAST_WORDS, LEAST_RUN = 6, 4
 #: Price of a change of language, in bytes; bytes a word of a foreign script costs; the same for a Latin word in a
 #: language of another script, where names and medicines are common.
-CHANGE, FOREIGN, BORROWED = 9.0, 12.0, 2.5
+CHANGE, FOREIGN, BORROWED = 8.0, 12.0, 2.5
+#: Bytes added for a word that a language's dictionary doesn't hold as a whole: matches inside words mislead.
+MISSING = 1.5
 #: Narrow margins: bytes a word by which the best language must beat the label's.
 MARGIN = 0.35
+#: A word whose rate in a second language is more than a SHARED-th of that in the first is a name; less than a STRAY-th, a stray.
+SHARED, STRAY = 4, 10
 #: Windows whose costs a worker keeps; bounds memory only.
 KEPT = 400_000
 
@@ -46,6 +50,8 @@ _DEVANAGARI, _ARABIC, _LATIN_LETTER = regex.compile(r"\p{Devanagari}"), regex.co
 _AT, _DOT = r"(?:@|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)", r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
 _NET = regex.compile(rf"(?i)[\w+-]+(?:{_DOT}[\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+|\bwww\.\S+")
 
+_NET_HINT = regex.compile(r"(?i)@|\bdot\b|www|[\[(]\s*at\b")
+
 
 class Languages:
     """The compressors of all languages. ``shared`` words (names, medicines) speak for no language."""
@@ -59,6 +65,8 @@ class Languages:
             self._compress.append(zstandard.ZstdCompressor(level=5, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         # Words that no dictionary has are names, medicines or the like as well.
         self.known = frozenset(w for lang in LATIN for w in texts[lang].split()) - shared
+        own = [frozenset(texts[lang].split()) for lang in LATIN]
+        self._missing = {w: [0.0 if w in o else MISSING for o in own] for w in self.known}
         self._kept: dict[str, list[float]] = {}
 
     def sizes(self, text: str) -> list[int]:
@@ -67,13 +75,13 @@ class Languages:
         return [len(compress(data)) for compress in self._compress]
 
     def window(self, ws: list[str]) -> list[float]:
-        """Cost of one word in each language, from a window of words around it; the cheapest is 0."""
+        """Cost of one word in each Latin-script language, from a window of words around it; the cheapest is 0."""
         text = " " + " ".join(ws) + " "
         found = self._kept.get(text)
         if found is None:
             sizes = self.sizes(text)
             least, n = min(sizes), len(ws)
-            found = [(s - least) / n * 2 for s in sizes] + [BORROWED] * (len(LANGS) - len(LATIN))
+            found = [(s - least) / n * 2 for s in sizes]
             if len(self._kept) >= KEPT:
                 self._kept.clear()
             self._kept[text] = found
@@ -90,7 +98,10 @@ class Languages:
             else:
                 out.append(_HINDI if d else _URDU)
         for k, i in enumerate(latin):
-            out[i] = self.window([ws[j] for j in latin[max(0, k - 2) : k + 3]])
+            row = self.window([ws[j] for j in latin[max(0, k - 2) : k + 3]])
+            row = [a + b for a, b in zip(row, self._missing[ws[i]])]
+            least = min(row)
+            out[i] = [x - least for x in row] + [BORROWED] * (len(LANGS) - len(LATIN))
         return out
 
     def segments(self, ws: list[str]) -> list[tuple[int, int, str, float]]:
@@ -135,7 +146,7 @@ class Languages:
 
     def told(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """Segments over all words of a text; addresses of the net are blanked out word by word, they are no language."""
-        if text and ("@" in text or "dot" in text.lower() or "www" in text):
+        if text and _NET_HINT.search(text):
             text = _NET.sub(lambda m: " ".join("0" for _ in words(m[0])), text)
         return self.segments(words(text))
 
@@ -191,7 +202,7 @@ def grown(rows: Iterable[tuple[str, str]], rounds: int = 3) -> Languages:
             votes.setdefault(" ".join(w for w in words(_NET.sub(" ", text)) if not w.isdigit()), Counter())[lang] += 1
     left = sorted((text, lang) for text, langs in votes.items() if " " in text for lang in langs)
     taken: dict[str, list[str]] = {lang: [] for lang in LANGS}
-    met: dict[str, set[str]] = {lang: set() for lang in LANGS}
+    met: dict[str, Counter[str]] = {lang: Counter() for lang in LANGS}
     for turn in range(rounds):
         rest = []
         for text, tag in left:
@@ -208,12 +219,15 @@ def grown(rows: Iterable[tuple[str, str]], rounds: int = 3) -> Languages:
             else:
                 rest.append((text, tag))
         left = rest
-        shared = {w for a in LATIN for b in LATIN if a < b for w in met[a] & met[b]} - seeded
+        # How often a word is met in each language: about as often in two means a name, rarely beside often a stray.
+        rates = {w: sorted(((met[lang][w] / max(1, met[lang].total()), lang) for lang in LATIN), reverse=True) for lang in LATIN for w in met[lang]}
+        shared = {w for w, r in rates.items() if r[1][0] * SHARED > r[0][0]} - seeded
+        stray = {(lang, w) for w, r in rates.items() for rate, lang in r if 0 < rate * STRAY < r[0][0] and w not in seeds[lang]}
         out = {}
         for lang in LANGS:
             body, triples, size = [], set(), 0
             for text in taken[lang]:
-                ws = [w for w in text.split(" ") if w not in shared]
+                ws = [w for w in text.split(" ") if w not in shared and (lang, w) not in stray]
                 fresh = set(zip(ws, ws[1:], ws[2:])) - triples
                 if len(fresh) * 2 > len(ws) - 2 and size < DICTIONARY_BYTES:
                     triples |= fresh
@@ -235,8 +249,8 @@ def records(intents: DataFrame, chat_logs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Languages:
     """Dictionaries from at most ``per_label`` rows of each label, chosen by hash; bounded by labels, not by rows."""
     tag = F.lower(F.trim("given"))
-    order = Window.partitionBy("tag").orderBy(F.xxhash64("text"), "text")
-    sample = rows.where(tag.isin([*LANGS])).select("text", tag.alias("tag")).where(F.length("text") > 20)
+    order = Window.partitionBy("tag").orderBy(F.xxhash64("rec_id", "turn_pos"), "rec_id", "turn_pos", "text")
+    sample = rows.where(tag.isin([*LANGS])).select("rec_id", "turn_pos", "text", tag.alias("tag")).where(F.length("text") > 20)
     sample = sample.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label)
     return grown((r["text"], r["tag"]) for r in sample.select("text", "tag").orderBy("tag", "k").collect())
 

@@ -21,6 +21,8 @@ could you help me with the booking because i cannot find the page any more. what
 avoid salty food, drink plenty of water and walk every day. keep your leg up at night and put some ice on it for ten minutes.
 does this bot know who i am and can it read my letters. where should we park the car and on which floor is the ward.
 the machine is loud but harmless; you will hear a knocking sound. if there is any swelling around the knee, tell us about it at once.
+everything looks fine according to her report, he says, and nothing else was found. something about this question is still not clear to anyone.
+actually i never really thought about it like that, but perhaps someone else has already seen those papers and can say more.
 honestly i have no idea, sorry for asking again. the people at the front desk were very kind to me and my father.
 """,
     "de": """
@@ -37,6 +39,7 @@ können Sie mir bei der Anmeldung helfen, weil ich die Seite nicht mehr finde. w
 vermeiden Sie salziges Essen, trinken Sie viel Wasser und gehen Sie jeden Tag spazieren. legen Sie nachts das Bein hoch und kühlen Sie es zehn Minuten.
 wo kann man hier parken und in welchem Stock liegt die Station. mein Name ist und ich wohne in der Straße neben dem Park.
 das Gerät ist laut, aber harmlos; Sie hören ein Klopfen. wenn das Knie geschwollen ist, sagen Sie uns sofort Bescheid.
+laut dem Bericht ist alles in Ordnung, sagt er, und sonst wurde nichts gefunden. etwas an dieser Frage ist noch niemandem klar.
 eigentlich habe ich keine Ahnung, entschuldigen Sie, dass ich noch einmal frage. die Leute am Empfang waren sehr freundlich zu mir und meinem Vater.
 """,
     "fr": """
@@ -53,6 +56,7 @@ pouvez-vous m'aider pour la réservation parce que je ne trouve plus la page. qu
 évitez les aliments salés, buvez beaucoup d'eau et marchez tous les jours. gardez la jambe levée la nuit et mettez de la glace pendant dix minutes.
 où peut-on garer la voiture et à quel étage se trouve le service. je m'appelle et j'habite dans la rue près du parc, mon numéro est le suivant.
 l'appareil est bruyant mais sans danger ; vous entendrez des coups. si le genou est enflé, prévenez-nous tout de suite.
+d'après le rapport tout va bien, dit-il, et rien d'autre n'a été trouvé. quelque chose dans cette question n'est encore clair pour personne.
 franchement je n'en ai aucune idée, désolé de poser encore la question. les gens à l'accueil ont été très gentils avec mon père et moi.
 """,
     "es": """
@@ -69,6 +73,7 @@ me puede ayudar con la reserva porque ya no encuentro la página. qué significa
 evite la comida salada, beba mucha agua y camine todos los días. mantenga la pierna en alto por la noche y ponga hielo durante diez minutos.
 dónde se puede aparcar el coche y en qué planta está la sala. me llamo y vivo en la calle junto al parque, mi teléfono es el siguiente.
 el aparato hace ruido pero no es peligroso; oirá unos golpes. si la rodilla está hinchada, avísenos enseguida.
+según el informe todo está bien, dice él, y no se encontró nada más. algo de esta pregunta todavía no está claro para nadie.
 sinceramente no tengo ni idea, perdone que pregunte otra vez. la gente de la recepción fue muy amable conmigo y con mi padre.
 """,
     "ur-latn": """
@@ -85,6 +90,7 @@ mujhe booking mein madad chahiye kyunke mujhe safha nahi mil raha. is ka kya mat
 namak kam khayen, pani zyada piyen aur rozana chehal qadmi karein. raat ko tang oonchi rakhein aur das minute baraf lagayen.
 gaari kahan khari karni hai aur ward kis manzil par hai. mera naam yeh hai aur mera number yeh hai, mera pata gali ke paas hai.
 machine shor karti hai magar khatarnak nahi hai. agar ghutne mein soojan ho to hamein foran batayen.
+report ke mutabiq sab theek hai, woh kehta hai, aur kuch nahi mila. is sawal ki koi baat ab tak kisi ko samajh nahi aayi. agar ho sake to jaldi jawab de dein.
 sach poochein to mujhe kuch pata nahi, dobara poochne ki maafi chahta hoon. log mere aur mere walid ke saath bohat ache the.
 """,
     "hi": """
