@@ -142,6 +142,7 @@ class Features:
                     out.append(f"w{n}=" + " ".join(aw[i : i + n]))
         # The pair.
         if qw:
+            aw = _masked(_PREFIX.sub("", raw))
             ba, bq = bare(_PREFIX.sub("", raw)), bare(_PREFIX.sub("", q))
             if ba and ba == bq:
                 out += ["equal", "equal", "equal"]

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import encode, formatting, language, leaks, overlap, pairs, sentences
+from colloquy.llm import encode, formatting, language, leaks, overlap, pairs, personal, sentences
 from colloquy.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "chat_logs"))
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return personal.cleaned(table(spark, d, "chat_logs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.found(table(spark, d, "faqs_cardiovascular"))
 
@@ -54,7 +62,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
