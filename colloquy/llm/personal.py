@@ -42,7 +42,7 @@ _EMAILS = {
 _GROUPS = regex.compile(r"[+(]{0,2}\p{N}(?:[\p{N}().+/\s-]{0,3}\p{N})*")
 #: Digits spelled out, words of addresses, titles, by language.
 SPELLED = "zero one two three four five six seven eight nine oh double triple null eins zwei drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq six sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve sifar aik do teen chaar paanch chhe saat aath nau".split()
-STREETS = "street st road rd lane ln ave avenue crescent drive dr close court way square place colony town block mohalla gali makan ghar house flat unit apt apartment rue boulevard calle avenida plaza paseo carrera weg straße strasse platz allee gasse tor ufer ring piso planta".split()
+STREETS = "street st road rd lane ln ave avenue crescent drive close court way square place colony town block mohalla gali makan ghar house flat unit apt apartment rue boulevard calle avenida plaza paseo carrera weg straße strasse platz allee gasse tor ufer ring piso planta".split()
 TITLES = "dr dr. doctor mr mrs ms miss prof nurse sister frau herr mme m señor señora doktor sir madam".split()
 _STREET_END = regex.compile(r"(?i)\p{L}{3,}(?:weg|straße|strasse|platz|gasse|allee|ufer|ring|damm)$")
 _SPELLED, _STREETS, _TITLES = frozenset(SPELLED), frozenset(STREETS), frozenset(TITLES)
@@ -218,6 +218,10 @@ class Turn:
         if not any(cue) and not any(w in ("am", "an", "in") for w in low):
             return
         fit = [c or s == "9" or s in (",", "-", "/", ".", "º", "ª") or w in _JOINING or (s in ("I", "i")) or (s in ("Xx", "XX", "x", "o") and (not k or s == "Xx")) for c, s, w, k in zip(cue, shapes, low, self.known)]
+        # A full stop belongs to an address only inside it: before an ordinal sign, or after a short form.
+        for k in range(n):
+            if shapes[k] == "." and not (k + 1 < n and self.tokens[k + 1] in "ºª" or k and low[k - 1] in ("st", "rd", "ave", "apt", "no", "nr", "str")):
+                fit[k] = False
         opens = [s == "9" or c or s == "Xx" for s, c in zip(shapes, cue)]
         for i in range(n):
             if not opens[i]:
