@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.operators import shapes
+from colloquy.plans import texts
+from colloquy.plans.registry import Query, Registry
 from colloquy.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+R = Registry()
+PARTS = [texts.R, R]
 
 
+@R.query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.found(*(table(spark, d, t) for t in ("chat_logs", "ner_examples", "raw_records")))
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return {name: q for part in PARTS for name, q in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
