@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.operators import shapes
-from colloquy.plans import searches, texts
+from colloquy.plans import searches, tables, texts
 from colloquy.plans.registry import Query, Registry
 from colloquy.session import table
 
 R = Registry()
-PARTS = [texts.R, searches.R, R]
+PARTS = [texts.R, tables.R, searches.R, R]
 
 
 @R.query()
