@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyspark.sql.functions as F
 import regex
 from pyspark.sql import DataFrame
@@ -56,8 +57,13 @@ class Rule:
 
     table: str
     breaks: bool
-    before: regex.Pattern
-    after: regex.Pattern
+    before: str
+    after: str
+
+    @property
+    def stop_only(self) -> bool:
+        """Whether the rule can only match behind a full stop."""
+        return self.before.endswith((r"\.", "[.]"))
 
 
 def _any(words: str) -> str:
@@ -69,7 +75,22 @@ _STARTS = r"(?:[«„“]\s?)?[\p{P}\p{S}]*(?:[\p{Lu}\p{Lt}\p{N}\p{Lo}\p{So}])"
 
 
 def _rule(table: str, breaks: bool, before: str, after: str) -> Rule:
-    return Rule(table, breaks, regex.compile(rf"(?r)(?:{before})"), regex.compile(after))
+    return Rule(table, breaks, before, after)
+
+
+Compiled = list[tuple[regex.Pattern, regex.Pattern, bool]]
+
+
+def _compiled(rules: list[Rule]) -> Compiled:
+    """(before, read backwards; after; whether it breaks) in order; neighbours that differ in ``before`` only are one pattern."""
+    out: list[tuple[list[str], str, bool]] = []
+    for rule in rules:
+        if out and out[-1][1:] == (rule.after, rule.breaks):
+            out[-1][0].append(rule.before)
+        else:
+            out.append(([rule.before], rule.after, rule.breaks))
+    inline = lambda x: f"(?i:{x.replace('(?i)', '')})" if "(?i)" in x else f"(?:{x})"
+    return [(regex.compile("(?r)(?:" + "|".join(map(inline, befores)) + ")"), regex.compile(after), breaks) for befores, after, breaks in out]
 
 
 def tables(caseless: bool) -> list[Rule]:
@@ -143,8 +164,10 @@ def quotation_tables(caseless: bool) -> list[Rule]:
 
 
 @lru_cache(2)
-def _tables(caseless: bool) -> tuple[list[Rule], list[Rule]]:
-    return tables(caseless), quotation_tables(caseless)
+def _tables(caseless: bool) -> tuple[Compiled, Compiled, Compiled]:
+    """Compiled cascades behind full stops, behind other end marks, and behind quotations."""
+    rules = tables(caseless)
+    return _compiled(rules), _compiled([r for r in rules if not r.stop_only]), _compiled(quotation_tables(caseless))
 
 
 _ATTRIBUTION = regex.compile(r"\s*[^。！？“”「」]{1,20}(?:说|道|问|答|喊|叫|写|说道|问道)[。！？]")
@@ -153,21 +176,23 @@ _LIST = regex.compile(r"[ \t　]*(?P<mark>[-*•‣▪◦●○–—+·]|\p{N}{
 _SURE = "*•‣▪◦●○"
 _CAND = regex.compile(rf"[{regex.escape(ENDS)}]+")
 _THAI, _THAI_LETTER = regex.compile(r"\s+"), regex.compile(r"\p{Thai}")
-_UPPERS, _LOWERS, _PAIRED = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}"), regex.compile("[" + regex.escape("".join(PAIRS)) + "]")
+_UPPERS, _PAIRED = regex.compile(r"\p{Lu}"), regex.compile("[" + regex.escape("".join(PAIRS)) + "]")
 
 
 # What is dropped (invisible characters but the joiner of emoji, and the carriage return of a pair), and what is unified.
 _DROP = regex.compile(r"\r(?=\n)|(?![\n\t\r\x0b\x0c\x85\u200d])[\p{Cf}\p{Cc}\p{Cs}]")
 _SPACES = {ord(c): " " for c in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"} | {ord(c): "\n" for c in "\r\x0b\x0c\x85\u2028\u2029"}
 
+_ODD_SPACE = regex.compile("[" + "".join(map(chr, _SPACES)) + "]")
+
 
-def _visible(text: str) -> tuple[str, range | list[int]]:
+def _visible(text: str) -> tuple[str, range | np.ndarray]:
     """The text without invisible characters, white space unified, and each kept character's place."""
     dropped = [m.start() for m in _DROP.finditer(text)]
-    if not dropped:
-        return text.translate(_SPACES), range(len(text))
-    gone = set(dropped)
-    return _DROP.sub("", text).translate(_SPACES), [i for i in range(len(text)) if i not in gone]
+    seen = _DROP.sub("", text) if dropped else text
+    if _ODD_SPACE.search(seen):
+        seen = seen.translate(_SPACES)
+    return seen, np.delete(np.arange(len(text)), dropped) if dropped else range(len(text))
 
 
 def _spans(text: str) -> list[tuple[int, int, bool]]:
@@ -199,16 +224,40 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _decide(rules: list[Rule], before: str, after: str) -> bool:
-    for rule in rules:
-        if rule.after.match(after) and rule.before.match(before):
-            return rule.breaks
+def _decide(rules: Compiled, before: str, after: str) -> bool:
+    for left, right, breaks in rules:
+        if right.match(after) and left.match(before):
+            return breaks
     return False
 
 
+#: Words that some rule treats apart; all others that consist of letters only end a sentence before a blank and a start.
+_SHORT = frozenset(w.lower() for words in (*NEVER.values(), *NUMBER.values(), *MAYBE.values()) for w in words.split())
+
+
+def _plain_stop(text: str, a: int, b: int, start: int, caseless: bool) -> bool:
+    """A shortcut for the commonest case of the cascade, with the same verdict: an ordinary word, one full stop, white
+    space, a capital (or anything in caseless text)."""
+    if b != a + 1 or text[a] != "." or b + 1 >= len(text) or text[b] not in " \n" or not (text[b + 1].isupper() or caseless and text[b + 1].islower()):
+        return False
+    word = text[max(text.rfind(" ", start, a), text.rfind("\n", start, a)) + 1 : a]
+    return len(word) > 3 and word.isalpha() and word[1:].islower() and word.lower() not in _SHORT
+
+
+def _caseless(text: str) -> bool:
+    """Fewer than one capital in 400 small letters or so; counting stops as soon as that is ruled out."""
+    if text.islower():
+        return True
+    most = len(text) // 400
+    for n, _ in enumerate(_UPPERS.finditer(text)):
+        if n >= most:
+            return False
+    return True
+
+
 def _running(text: str, caseless: bool) -> list[int]:
     """Boundaries (ends of sentences) in running text."""
-    rules, quoted = _tables(caseless)
+    stops, others, quoted = _tables(caseless)
     spans = _spans(text) if _PAIRED.search(text) else []
     ends, start = [], 0
     k = 0
@@ -241,7 +290,7 @@ def _running(text: str, caseless: bool) -> list[int]:
         while end < len(text) and text[end] in CLOSERS and not (text[end] in '"”“' and any(s == end for s, _, _ in spans[k : k + 2])):
             end += 1
         rest = text[end : end + 60]
-        if rest.strip() and _decide(rules, text[max(start, a - 40) : b], rest):
+        if rest.strip() and (_plain_stop(text, a, b, start, caseless) and end == b or _decide(stops if text[b - 1] == "." else others, text[max(start, a - 40) : b], rest)):
             ends.append(end)
             start = end
     if _THAI_LETTER.search(text):
@@ -291,7 +340,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     seen, at = _visible(text)
-    caseless = len(_UPPERS.findall(seen)) * 400 < len(_LOWERS.findall(seen))
+    caseless = _caseless(seen)
     out = []
     for a, b, entry in _units(seen):
         part = seen[a:b]
@@ -302,7 +351,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             size = len(piece.strip())
             if size and piece.strip() != "‍":
                 first = a + last + head
-                out.append((at[first], at[first + size - 1] + 1))
+                out.append((int(at[first]), int(at[first + size - 1]) + 1))
             last = end
     return out
 
