@@ -144,6 +144,25 @@ class Languages:
             out.append((a, b, LANGS[lang], (min(total[:lang] + total[lang + 1 :]) - total[lang]) / (b - a)))
         return _merged(out)
 
+    def whole(self, ws: list[str]) -> tuple[str, float]:
+        """(language, margin in bytes a word) of words taken as one piece: one compression a language."""
+        if not ws:
+            return "none", 0.0
+        hindi = urdu = 0
+        known = []
+        for w in ws:
+            if w in self.known:
+                known.append(w)
+            elif not w.isascii():
+                hindi += bool(_DEVANAGARI.search(w))
+                urdu += bool(_ARABIC.search(w))
+        if max(hindi, urdu) > len(known):
+            return ("hi", FOREIGN) if hindi > urdu else ("ur", FOREIGN)
+        sizes = self.sizes(" ".join(known)) if known else [0] * len(LATIN)
+        costs = [s + sum(self._missing[w][k] for w in known) for k, s in enumerate(sizes)]
+        best = costs.index(min(costs))
+        return LATIN[best], (min(costs[:best] + costs[best + 1 :]) - costs[best]) / len(ws)
+
     def told(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """Segments over all words of a text; addresses of the net are blanked out word by word, they are no language."""
         if text and _NET_HINT.search(text):

@@ -106,13 +106,6 @@ class Features:
     def state(self) -> tuple:
         return self.last, self.pairs, self.texts, self.shared
 
-    def _lang(self, ws: list[str]) -> tuple[str, float]:
-        found = self.languages.segments(ws)
-        if not found:
-            return "none", 0.0
-        best = max(found, key=lambda s: s[1] - s[0])
-        return best[2], best[3]
-
     def names(self, question: str | None, answer: str | None) -> list[str]:
         raw, q = plain(answer), plain(question)
         out = ["bias"]
@@ -145,11 +138,11 @@ class Features:
             aw = _masked(_PREFIX.sub("", raw))
             ba, bq = bare(_PREFIX.sub("", raw)), bare(_PREFIX.sub("", q))
             if ba and ba == bq:
-                out += ["equal", "equal", "equal"]
+                out += ["equal"] * 6
             share = len(set(aw) & set(qw)) / len(set(aw)) if aw else 0
             more = len(set(aw) - set(qw))
             out += [f"share={int(share * 5)}", f"more={min(more, 6)}", f"share={int(share * 5)},more={min(more, 6)}", f"starts={bool(bq) and ba.startswith(bq)},more={more > 2}"]
-            (la, ma), (lq, mq) = self._lang(words(raw)), self._lang(words(q))
+            (la, ma), (lq, mq) = self.languages.whole(words(raw)), self.languages.whole(words(q))
             sure = min(int(ma * 2), 4)
             out += [f"langs={la},{lq}", f"same={la == lq}", f"same={la == lq},{sure}", f"same={la == lq},{sure},{min(int(mq * 2), 4)}", f"same={la == lq},{len(aw) > 4}"]
         return out
@@ -183,8 +176,7 @@ def _copy(question: str, rnd: random.Random) -> str:
 def _by_language(texts: list[str], model: language.Languages) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for text in texts:
-        found = model.told(text.replace("{t}", "").replace("{n}", "3"))
-        out.setdefault(found[0][2] if found else "en", []).append(text)
+        out.setdefault(model.whole(words(text.replace("{t}", "").replace("{n}", "3")))[0], []).append(text)
     return out
 
 
@@ -222,6 +214,11 @@ def synthetic(pairs: list[tuple[str, str]], langs: list[str], model: language.La
             out.append((q, vary(fill(choose(refusals, REFUSALS, lang, 0.8))), "refusal"))
         if rnd.random() < 0.4:
             out.append((q, vary(fill(choose(shorts, shorts["en"] if lang == "en" else shorts.get(lang, SOUND), lang, 1.0))), None))
+    # Rare languages would see too little of their own seeds.
+    for own, defect, times in ((refusals, "refusal", 25), (shorts, None, 12)):
+        for lang, texts in own.items():
+            if asked := [q for (q, _), found in zip(pairs, langs) if found == lang]:
+                out += [(rnd.choice(asked), vary(fill(t)), defect) for t in texts for _ in range(times)]
     rnd.shuffle(out)
     return out
 
@@ -249,9 +246,9 @@ def train(pairs: list[tuple[str, str]], seed: int = 7) -> Classifier:
     tagged = []
     for question, answer in pairs:
         for text in (question, answer):
-            found = seeds.told(text)
-            if len(found) == 1 and found[0][3] >= language.MARGIN:
-                tagged.append((text, found[0][2]))
+            lang, margin = seeds.whole(words(text))
+            if margin >= language.MARGIN:
+                tagged.append((text, lang))
     model = language.grown(tagged)
     sound, langs = [], []
     for question, answer in pairs:
@@ -259,10 +256,10 @@ def train(pairs: list[tuple[str, str]], seed: int = 7) -> Classifier:
         ws = words(text)
         if len(ws) < 6 or text[-1:] not in ".!?。۔।" or text.endswith("..") or bare(question).startswith(bare(text)) or bare(text).startswith(bare(question)):
             continue
-        (a, *more), q = model.told(text), model.told(question)
-        if not more and (not q or q[0][2] == a[2]):
+        (a, _), (q, _) = model.whole(ws), model.whole(words(question))
+        if q in (a, "none"):
             sound.append((question, text))
-            langs.append(a[2])
+            langs.append(a)
     features = Features(*endings([a for _, a in sound] + [s.format(t="it", n=3) for s in SOUND]), model.texts, model.shared)
     made = synthetic(sound, langs, model, seed)
     ids = [features.ids(q, a) for q, a, _ in made]
