@@ -10,14 +10,19 @@ drops what only shares that span, and the surviving pairs of texts get the exact
 is within K edits can be missed.
 
 Copies are collapsed before: suffixes belong to distinct word sequences ("classes"), ids come back at the end. A lead
-shared by so many classes that its pairs would swamp a task (``HOT``) is dissolved: its texts are matched by two of K+2
-pieces instead, which is exact as well and far more selective.
+shared by so many classes that its pairs would swamp a task (``HOT``) is dissolved: its texts are matched by j unchanged
+pieces of K+j at once, for growing j (``LEVELS``), which is exact as well and more selective each time: j pieces hold
+j/(K+j) of a text. Texts that are still alike in a hot lead of the last level differ in a few words only and are
+compared.
 
 Texts that are null or have fewer than six words take no part; ids delivered twice count once; tables may be empty.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,8 +33,8 @@ from colloquy.session import cut, spread
 
 #: Edits allowed, and the fewest words a text needs.
 EDITS, LEAST_WORDS = 2, 6
-#: Pairs of classes under one lead beyond which its texts are matched by two pieces.
-HOT = 200_000
+#: Pairs of classes under one lead beyond which its texts are matched by more pieces, and how many at each level.
+HOT, LEVELS = 200_000, (1, 2, 4)
 
 
 def pieces(n: int, count: int) -> list[tuple[int, int]]:
@@ -41,46 +46,48 @@ def _key(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def train_leads(ws: list[str]) -> list[int]:
-    """Keys of the suffixes at the piece starts of a training text."""
-    n = len(ws)
-    return [_key(n, i, *ws[a:b]) for i, (a, b) in enumerate(pieces(n, EDITS + 1))]
+def _shifts(count: int, delta: int, left: int, last: int = 0) -> list[tuple[int, ...]]:
+    """Shifts of ``count`` unchanged pieces in order, if ``left`` edits move them and the text's end moves by ``delta``."""
+    if not count:
+        return [()] if abs(delta - last) <= left else []
+    return [(s, *rest) for s in range(last - left, last + left + 1) for rest in _shifts(count - 1, delta, left - abs(s - last), s)]
 
 
-def eval_leads(ws: list[str]) -> list[int]:
-    """Keys of the suffixes that could meet a piece of a training text within the allowed edits.
+@lru_cache(64)
+def _plans(count: int, delta: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """(sets of unchanged pieces, their shifts) for a level and a difference in length."""
+    return list(combinations(range(EDITS + count), count)), _shifts(count, delta, EDITS)
 
-    Piece i is the first unchanged one for at most i edits before it, and at most EDITS - i after it.
-    """
-    m, out = len(ws), set()
-    for n in range(max(LEAST_WORDS, m - EDITS), m + EDITS + 1):
-        for i, (a, b) in enumerate(pieces(n, EDITS + 1)):
-            for shift in range(-i, i + 1):
-                if abs(m - n - shift) <= EDITS - i and 0 <= a + shift and b + shift <= m:
-                    out.add(_key(n, i, *ws[a + shift : b + shift]))
-    return list(out)
 
+def train_leads(ws: list[str], count: int = 1) -> list[int]:
+    """Keys of the suffixes at the piece starts of a training text, ``count`` pieces to a key.
 
-def train_doubles(ws: list[str]) -> list[int]:
-    """Keys of all pairs of K+2 pieces of a training text; two of these pieces are unchanged in any near text."""
+    A text too short for that many pieces has one key for its length, so it still meets all that may be near it.
+    """
     n = len(ws)
-    cut_ = pieces(n, EDITS + 2)
-    return [_key(n, i, j, *ws[slice(*cut_[i])], "|", *ws[slice(*cut_[j])]) for i in range(len(cut_)) for j in range(i + 1, len(cut_))]
+    if n < EDITS + count:
+        return [_key(n, "short")]
+    cut_ = pieces(n, EDITS + count)
+    return [_key(n, *chosen, *("\x1e".join(ws[slice(*cut_[i])]) for i in chosen)) for chosen in combinations(range(EDITS + count), count)]
 
 
-def eval_doubles(ws: list[str]) -> list[int]:
+def eval_leads(ws: list[str], count: int = 1) -> list[int]:
+    """Keys of the suffixes that could meet pieces of a training text within the allowed edits."""
     m, out = len(ws), set()
     for n in range(max(LEAST_WORDS, m - EDITS), m + EDITS + 1):
-        cut_ = pieces(n, EDITS + 2)
-        for s in range(-EDITS, EDITS + 1):
-            for t in range(-EDITS, EDITS + 1):
-                if abs(s) + abs(t - s) + abs(m - n - t) > EDITS:
+        if n < EDITS + count:
+            out.add(_key(n, "short"))
+            continue
+        cut_ = pieces(n, EDITS + count)
+        sets, moves = _plans(count, m - n)
+        for chosen in sets:
+            for shifts in moves:
+                # Of single pieces one is enough that has at most as many edits before it as pieces, and the rest behind.
+                if count == 1 and (abs(shifts[0]) > chosen[0] or abs(m - n - shifts[0]) > EDITS - chosen[0]):
                     continue
-                for i in range(len(cut_)):
-                    for j in range(i + 1, len(cut_)):
-                        (a, b), (c, d) = cut_[i], cut_[j]
-                        if 0 <= a + s and d + t <= m and b + s <= c + t:
-                            out.add(_key(n, i, j, *ws[a + s : b + s], "|", *ws[c + t : d + t]))
+                spans = [(cut_[i][0] + s, cut_[i][1] + s) for i, s in zip(chosen, shifts)]
+                if spans[0][0] >= 0 and spans[-1][1] <= m and all(x[1] <= y[0] for x, y in zip(spans, spans[1:])):
+                    out.add(_key(n, *chosen, *("\x1e".join(ws[a:b]) for a, b in spans)))
     return list(out)
 
 
@@ -116,18 +123,17 @@ def _sign(ws: list[str]) -> str:
     return "".join([chr(0x80 + xxhash.xxh3_64_intdigest(w) % 1920) for w in ws])
 
 
-@arrow("struct<sign:string,train:array<bigint>,eval:array<bigint>>")
-def _leads(texts: list, train: list, eval_: list) -> list:
-    out = []
-    for text, t, e in zip(texts, train, eval_):
-        ws = text.split(" ")
-        out.append({"sign": _sign(ws), "train": train_leads(ws) if t else [], "eval": eval_leads(ws) if e else []})
-    return out
+@arrow("string")
+def _signs(texts: list) -> list:
+    return [_sign(t.split(" ")) for t in texts]
+
 
+def _leads(count: int):
+    @arrow("array<bigint>")
+    def each(texts: list, train: list) -> list:
+        return [train_leads(x.split(" "), count) if t else eval_leads(x.split(" "), count) for x, t in zip(texts, train)]
 
-@arrow("array<bigint>")
-def _doubles(texts: list, train: list) -> list:
-    return [train_doubles(x.split(" ")) if t else eval_doubles(x.split(" ")) for x, t in zip(texts, train)]
+    return each
 
 
 @arrow("boolean")
@@ -151,19 +157,29 @@ def _meet(train: DataFrame, evals: DataFrame) -> DataFrame:
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """(e, t): pairs of classes (evaluation, training) within the allowed edits by signature, each once."""
-    told = classes.withColumn("x", _leads("text", "train", "eval"))
-    train = told.where("train").select("cls", "x.sign", F.explode("x.train").alias("lead"))
-    evals = told.where("eval").select("cls", "x.sign", F.explode("x.eval").alias("lead"))
-    # Rows of both sides by lead, before any pair is made: partial counts, so a hot lead is one small row a task.
-    both = train.select("lead", F.lit(1).alias("t"), F.lit(0).alias("e")).unionByName(evals.select("lead", F.lit(0).alias("t"), F.lit(1).alias("e")))
-    counts = both.groupBy("lead").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
-    hot = cut(counts.where(F.col("t") * F.col("e") > HOT).select("lead"))
-    if hot.isEmpty():
-        return _meet(train, evals).distinct()
-    pairs = _meet(train.join(hot, "lead", "left_anti"), evals.join(hot, "lead", "left_anti"))
-    held = lambda side: side.join(hot, "lead", "left_semi").select("cls").distinct()
-    dissolve = lambda side, flag: held(side).join(told, "cls").select("cls", "x.sign", F.explode(_doubles("text", F.lit(flag))).alias("lead"))
-    return pairs.unionByName(_meet(dissolve(train, True), dissolve(evals, False))).distinct()
+    told = classes.withColumn("sign", _signs("text"))
+    train, evals = told.where("train").select("cls", "text", "sign"), told.where("eval").select("cls", "text", "sign")
+    pairs = None
+    for level, count in enumerate(LEVELS):
+        leads = _leads(count)
+        t = train.select("cls", "sign", F.explode(leads("text", F.lit(True))).alias("lead"))
+        e = evals.select("cls", "sign", F.explode(leads("text", F.lit(False))).alias("lead"))
+        if level + 1 == len(LEVELS):
+            met = _meet(t, e)
+            return (met if pairs is None else pairs.unionByName(met)).distinct()
+        # Rows of both sides by lead, before any pair is made: partial counts, so a hot lead is one small row a task.
+        both = t.select("lead", F.lit(1).alias("t"), F.lit(0).alias("e")).unionByName(e.select("lead", F.lit(0).alias("t"), F.lit(1).alias("e")))
+        counts = both.groupBy("lead").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+        hot = cut(counts.where(F.col("t") * F.col("e") > HOT).select("lead"))
+        if hot.isEmpty():
+            met = _meet(t, e)
+            return (met if pairs is None else pairs.unionByName(met)).distinct()
+        met = _meet(t.join(hot, "lead", "left_anti"), e.join(hot, "lead", "left_anti"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+        # A pair all of whose leads are hot has both texts in hot leads: those go on to the next level.
+        on = lambda side, rows: rows.join(cut(side.join(hot, "lead", "left_semi").select("cls").distinct()), "cls", "left_semi")
+        train, evals = on(t, train), on(e, evals)
+    return pairs.distinct()
 
 
 def found(intents: DataFrame, eval_queries: DataFrame) -> DataFrame:
