@@ -157,8 +157,7 @@ def _meet(train: DataFrame, evals: DataFrame) -> DataFrame:
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """(e, t): pairs of classes (evaluation, training) within the allowed edits by signature, each once."""
-    told = classes.withColumn("sign", _signs("text"))
-    train, evals = told.where("train").select("cls", "text", "sign"), told.where("eval").select("cls", "text", "sign")
+    train, evals = classes.where("train").select("cls", "text", "sign"), classes.where("eval").select("cls", "text", "sign")
     pairs = None
     for level, count in enumerate(LEVELS):
         leads = _leads(count)
@@ -185,8 +184,10 @@ def near_classes(classes: DataFrame) -> DataFrame:
 def found(intents: DataFrame, eval_queries: DataFrame) -> DataFrame:
     """(first_id, second_id): all pairs of an evaluation and a training record within the allowed edits."""
     rows = sides(intents, eval_queries).select("id", "is_train", _canonical("text").alias("text")).where("text is not null")
-    rows = rows.withColumn("cls", F.unhex(F.md5(F.col("text").cast("binary"))))
-    classes = cut(rows.groupBy("cls").agg(F.first("text").alias("text"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("eval")))
+    # Words are cut once; what follows reads the result three times.
+    rows = cut(rows.withColumn("cls", F.unhex(F.md5(F.col("text").cast("binary")))))
+    classes = rows.groupBy("cls").agg(F.first("text").alias("text"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("eval"))
+    classes = cut(classes.withColumn("sign", _signs("text")))
     pairs = near_classes(classes)
     texts = classes.select("cls", "text")
     pairs = pairs.join(texts.toDF("e", "e_text"), "e").join(texts.toDF("t", "t_text"), "t")
