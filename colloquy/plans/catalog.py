@@ -13,7 +13,31 @@ R = Registry()
 PARTS = [texts.R, tables.R, searches.R, models.R, mining.R, R]
 
 
-@R.query()
+def _as_list(v: str) -> str:
+    """SQL: the list that a JSON value stands for; a lone value is a list of one, a string may hold a list."""
+    inner = f"({v} ->> '$')"
+    decoded = f"json_valid({inner}) and json_type(try_cast({inner} as json)) = 'ARRAY'"
+    return f"""case json_type({v}) when 'ARRAY' then {v} when 'OBJECT' then json_array({v}) when 'VARCHAR' then case when {decoded} then try_cast({inner} as json) when trim({inner}) = '' then null else json_array({v}) end
+    when 'NULL' then null else case when {v} is null then null else json_array({v}) end end"""
+
+
+def _elements(source: str, keys: str, v: str, pos: str) -> str:
+    """SQL: (keys, pos, e) of the elements of ``v`` that are not null."""
+    return f"(select {keys}, i::int as {pos}, json_extract(l, '$[' || i || ']') as e from (select {keys}, l, unnest(generate_series(0, json_array_length(l)::bigint - 1)) as i from (select {keys}, {_as_list(v)} as l from {source}) where l is not null and json_array_length(l) > 0) where json_type(json_extract(l, '$[' || i || ']')) <> 'NULL')"
+
+
+_P6_SQL = f"""with raw as (select distinct raw_id, try_cast(payload as json) as j from raw_records where json_valid(payload)),
+ss as (select raw_id, pos1, e from {_elements("(select raw_id, j -> '$.export.sessions' as v from raw)", "raw_id", "v", "pos1")}),
+tt as (select raw_id, pos1, pos2, e from {_elements("(select raw_id, pos1, e -> '$.turns' as v from ss)", "raw_id, pos1", "v", "pos2")}),
+en as (select raw_id, pos1, pos2, pos3, e from {_elements("(select raw_id, pos1, pos2, e -> '$.entities' as v from tt)", "raw_id, pos1, pos2", "v", "pos3")}),
+tg as (select raw_id, pos1, pos2, pos3, e from {_elements("(select raw_id, pos1, pos2, e -> '$.tags' as v from tt)", "raw_id, pos1, pos2", "v", "pos3")}),
+lg as (select session_id, generate_subscripts(turns, 1) - 1 as p, unnest(turns) as t from chat_logs), ne as (select id, generate_subscripts(entities, 1) - 1 as p, unnest(entities) as t from ner_examples), nt as (select id, generate_subscripts(tags, 1) - 1 as p, unnest(tags) as t from ner_examples)
+select raw_id as root_id, 'sessions' as path, pos1, -1 as pos2, -1 as pos3, coalesce(e ->> '$.specialty', '') as val from ss union select raw_id, 'turns', pos1, pos2, -1, coalesce(e ->> '$.role', '') from tt
+union select raw_id, 'entities', pos1, pos2, pos3, coalesce(e ->> '$.label', '') from en union select raw_id, 'tags', pos1, pos2, pos3, coalesce(e ->> '$', '') from tg
+union select session_id, 'turns', p::int, -1, -1, coalesce(t.role, '') from lg where t is not null union select id, 'entities', p::int, -1, -1, coalesce(t.label, '') from ne where t is not null union select id, 'tags', p::int, -1, -1, t from nt where t is not null"""
+
+
+@R.query(_P6_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.found(*(table(spark, d, t) for t in ("chat_logs", "ner_examples", "raw_records")))
 
