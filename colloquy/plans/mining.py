@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from colloquy.functions import text as T
 from colloquy.operators import store
 from colloquy.plans.registry import Registry
-from colloquy.session import table
+from colloquy.session import cut, table
 from colloquy.streaming import turns as S
 
 R = Registry()
-#: Questions clustered together at most; larger blocks are split by hash, so no task holds an unbounded group.
-BLOCK = 400
+#: Rows a side of the blocks in which questions meet centers; it bounds a task's matrices, and no result depends on it.
+BLOCK = 512
+#: Rounds of k-means at most, as in the reference; it ends as soon as no question changes its cluster.
+ROUNDS = 100
 
 
 def segmented(logs: DataFrame) -> DataFrame:
@@ -33,44 +35,95 @@ def normalised(questions: DataFrame) -> DataFrame:
     return clean.groupBy("specialty", "clean").agg(F.count("*").alias("n"), F.max_by("reply", F.struct(F.length("reply"), "reply")).alias("reply"))
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """Blocks of questions that share their rarest word, cut to ``BLOCK`` rows; clustering never leaves a block."""
-    words = rows.select("specialty", "clean", F.explode(F.array_distinct(T.tokens(F.col("clean")))).alias("term"))
-    df = words.groupBy("specialty", "term").agg(F.count("*").alias("df"))
-    # A word that occurs once can't hold a cluster together.
-    rare = words.join(df.where("df > 1"), ["specialty", "term"]).groupBy("specialty", "clean").agg(F.min(F.struct("df", "term")).alias("x"))
-    out = rows.join(rare.select("specialty", "clean", F.col("x.term").alias("term"), F.col("x.df").alias("df")), ["specialty", "clean"], "left")
-    parts = F.ceil(F.coalesce("df", F.lit(BLOCK)) / BLOCK)
-    return out.withColumn("block", F.concat_ws("|", "specialty", F.coalesce("term", F.lit("")), F.pmod(F.xxhash64("clean"), parts).cast("string"))).drop("df")
-
-
-def clustered(blocks: DataFrame) -> DataFrame:
-    """(specialty, cluster, clean, n, reply, closeness): cosine k-means in each block, a quarter as many clusters as rows."""
-    vocabulary = 512
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        pdf = pdf.sort_values("clean").reset_index(drop=True)
-        x = np.zeros((len(pdf), vocabulary))
-        for i, t in enumerate(pdf["clean"]):
-            for w in t.split():
-                x[i, zlib.crc32(w.encode()) % vocabulary] += 1
-        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-        k = -(-len(x) // 4)
-        centers = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(10):
-            at = np.round(x @ centers.T, 9).argmax(1)
-            new = np.stack([x[at == j].mean(0) if (at == j).any() else centers[j] for j in range(k)])
-            if np.allclose(new, centers):
-                break
-            centers = new
-        unit = centers / (np.linalg.norm(centers, axis=1, keepdims=True) + 1e-9)
-        close = (x * unit[at]).sum(1)
-        return pd.DataFrame({"specialty": pdf["specialty"], "cluster": [f"{b}/{j}" for b, j in zip(pdf["block"], at)], "clean": pdf["clean"], "n": pdf["n"], "reply": pdf["reply"], "closeness": close})
-
-    return blocks.groupBy("block").applyInPandas(each, "specialty string, cluster string, clean string, n long, reply string, closeness double")
+def weighted(rows: DataFrame) -> DataFrame:
+    """``rows`` with a key of the specialty, a place i in it, and a unit vector (ids, ws) of weighted words and word pairs.
+
+    Frequencies are those over all turns. A null specialty has a key of its own. Words are runs of letters and digits of
+    any script. The place is that in alphabetical order; its window sorts keys and questions only.
+    """
+    key = F.coalesce(F.concat(F.lit("="), "specialty"), F.lit(""))
+    rows = rows.withColumn("key", key)
+    words = F.regexp_extract_all("clean", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    terms = rows.select("key", "clean", "n", F.explode(T.word_ngrams(words, 1, 2)).alias("term")).groupBy("key", "clean", "n", F.xxhash64("term").alias("id")).agg((1 + F.log(F.count("*"))).alias("tf"))
+    idf = terms.groupBy("id").agg(F.sum("n").alias("df")).join(F.broadcast(rows.agg(F.sum("n").alias("all")))).select("id", (F.log((1 + F.col("all")) / (1 + F.col("df"))) + 1).alias("idf"))
+    pairs = terms.join(idf, "id").groupBy("key", "clean").agg(F.sort_array(F.collect_list(F.struct("id", (F.col("tf") * F.col("idf")).alias("w")))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    vectors = pairs.withColumn("length", length).select("key", "clean", F.col("v.id").alias("ids"), F.transform("v", lambda x: x["w"] / F.col("length")).alias("ws"))
+    places = rows.select("key", "clean").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("clean")) - 1)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return rows.join(places, ["key", "clean"]).join(vectors, ["key", "clean"], "left").select("key", "i", "specialty", "clean", "n", "reply", empty("ids", "long"), empty("ws", "double"))
+
+
+def _halved(centers: DataFrame) -> DataFrame:
+    """``centers`` (key, j, ids, ws) with half their squared length."""
+    return centers.withColumn("half", F.aggregate("ws", F.lit(0.0), lambda s, x: s + x * x) / 2)
+
+
+def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """(key, i, j): the nearest of all centers of the key; the smaller one wins ties.
+
+    Every block of points meets every block of centers, each pair of blocks in a group of its own.
+    """
+
+    def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"key": [], "i": [], "j": [], "far": []})
+        right = right.sort_values("j")
+        known = np.unique(np.concatenate([*left["ids"], np.zeros(1, np.int64)]).astype(np.int64))
+
+        def matrix(pdf: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(pdf), len(known)))
+            for r, (ids, ws) in enumerate(zip(pdf["ids"], pdf["ws"])):
+                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                both = known[at] == ids
+                out[r, at[both]] = np.asarray(ws)[both]
+            return out
+
+        far = np.round(right["half"].to_numpy() - matrix(left) @ matrix(right).T, 9)
+        at = far.argmin(1)
+        return pd.DataFrame({"key": left["key"], "i": left["i"], "j": right["j"].to_numpy()[at], "far": far[np.arange(len(at)), at]})
+
+    part = lambda c: F.floor(F.col(c) / BLOCK)
+    grid = centers.groupBy("key").agg(F.max(part("j")).alias("cs")).join(points.groupBy("key").agg(F.max(part("i")).alias("ps")), "key")
+    spans = lambda df, c, n: df.join(grid, "key").withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n))))
+    left = spans(points.select("key", "i", "ids", "ws", part("i").alias("p")), "c", "cs").drop("cs", "ps")
+    right = spans(centers.select("key", "j", "ids", "ws", "half", part("j").alias("c")), "p", "ps").drop("cs", "ps")
+    right = right.toDF(*right.columns)  # columns of its own, as the first centers are points
+    best = left.groupBy("key", "p", "c").cogroup(right.groupBy("key", "p", "c")).applyInPandas(each, "key string, i long, j long, far double")
+    return best.groupBy("key", "i").agg(F.min(F.struct("far", "j"))["j"].alias("j"))
+
+
+def moved(points: DataFrame, at: DataFrame, centers: DataFrame) -> DataFrame:
+    """Centers as means of their turns; one without a question stays where it is."""
+    own = points.join(at, ["key", "i"])
+    sizes = own.groupBy("key", "j").agg(F.sum("n").alias("turns"))
+    sums = own.select("key", "j", "n", F.explode(F.arrays_zip("ids", "ws")).alias("x")).groupBy("key", "j", F.col("x.ids").alias("id")).agg(F.sum(F.col("n") * F.col("x.ws")).alias("w"))
+    lists = sums.groupBy("key", "j").agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("v"))
+    new = sizes.join(lists, ["key", "j"], "left").select("key", "j", F.coalesce("v.id", F.array().cast("array<long>")).alias("ids1"), F.coalesce(F.transform("v", lambda x: x["w"] / F.col("turns")), F.array().cast("array<double>")).alias("ws1"))
+    return _halved(centers.drop("half").join(new, ["key", "j"], "left").select("key", "j", F.coalesce("ids1", "ids").alias("ids"), F.coalesce("ws1", "ws").alias("ws")))
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """(specialty, cluster, clean, n, reply, closeness): k-means over each whole specialty, a quarter as many clusters as
+    distinct questions, which weigh as many turns as they have.
+
+    The first centers are every fourth question in alphabetical order. Rounds go on until nothing moves; points, centers
+    and sums stay distributed, and only the number of moves reaches the driver.
+    """
+    points = cut(weighted(rows))
+    centers = cut(_halved(points.where("i % 4 = 0").select("key", (F.col("i") / 4).cast("long").alias("j"), "ids", "ws")))
+    at = None
+    for _ in range(ROUNDS):
+        now = cut(nearest(points, centers))
+        if at is not None and now.join(at.withColumnRenamed("j", "was"), ["key", "i"]).where("j <> was").isEmpty():
+            break
+        at, centers = now, cut(moved(points, now, centers))
+    own = points.join(at, ["key", "i"])
+    terms = own.select("key", "i", "j", F.explode(F.arrays_zip("ids", "ws")).alias("x")).select("key", "i", "j", F.col("x.ids").alias("id"), "x.ws")
+    means = centers.select("key", "j", (F.sqrt(2 * F.col("half")) + 1e-9).alias("length"), F.explode(F.arrays_zip("ids", F.col("ws").alias("cs"))).alias("x")).select("key", "j", "length", F.col("x.ids").alias("id"), "x.cs")
+    close = terms.join(means, ["key", "j", "id"]).groupBy("key", "i").agg(F.sum(F.col("ws") * F.col("cs") / F.col("length")).alias("closeness"))
+    out = own.join(close, ["key", "i"], "left")
+    return out.select("specialty", F.concat_ws("/", "key", "j").alias("cluster"), "clean", "n", "reply", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
 def selected(clusters: DataFrame) -> DataFrame:
@@ -95,8 +148,8 @@ def pipeline_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def pipeline_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """All stages: segment, normalise, block, cluster, select, polish, publish."""
-    return published(selected(clustered(blocked(normalised(segmented(table(spark, d, "chat_logs")))))))
+    """All stages: segment, normalise, cluster, select, polish, publish."""
+    return published(selected(clustered(normalised(segmented(table(spark, d, "chat_logs"))))))
 
 
 @R.query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
