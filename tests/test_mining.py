@@ -48,3 +48,11 @@ def test_clusters_equal_plain_kmeans(spark, monkeypatch, block):
     rows = spark.createDataFrame([("x", q, n, "Rest.") for q, n in counts.items()], "specialty string, clean string, n long, reply string")
     got = {r["clean"]: r["cluster"] for r in mining.clustered(rows).collect()}
     assert {q: f"=x/{j}" for q, j in plain(counts).items()} == got
+
+
+def test_null_specialty_is_clustered_like_a_named_one(spark, tmp_path):
+    texts = [f"why {w} {w}{i}" for w, m in (("a", 4), ("b", 2), ("c", 2)) for i in range(m)]
+    out = candidates(spark, tmp_path, [(s, q) for s in (None, "x") for q in texts])
+    of = lambda s: sorted((r["question"], r["count"]) for r in out if r["specialty"] == s)
+    assert len(of(None)) == 2 and sum(n for _, n in of(None)) == 8
+    assert of(None) == of("x")
