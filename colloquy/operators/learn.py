@@ -7,6 +7,7 @@ bounded input whose bound is a parameter.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
@@ -128,6 +129,36 @@ def lloyd(points: DataFrame, centers: list[list[float]], rounds: int = 3) -> tup
     return assigned(centers).select("id", "cluster"), centers
 
 
+# ---- nearest words
+
+
+def neighbours(vectors: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """(word, near, similarity): the ``k`` words of highest cosine to each word of (word, vector), ties by the word.
+
+    Each pair of blocks of about ``block`` words is a group of its own; all pairs meet, so blocks don't change results.
+    """
+    parts = max(1, -(-vectors.count() // block))
+
+    def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"word": [], "near": [], "similarity": []})
+        right = right.sort_values("word")
+        unit = lambda pdf: (x := np.stack(pdf["vector"].to_list())) / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+        like = np.round(unit(left) @ unit(right).T, 9)
+        like[left["word"].to_numpy()[:, None] == right["word"].to_numpy()[None]] = -np.inf
+        best = np.argsort(-like, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(like, best, 1).ravel()
+        out = pd.DataFrame({"word": left["word"].repeat(best.shape[1]).to_numpy(), "near": right["word"].to_numpy()[best].ravel(), "similarity": score})
+        return out[np.isfinite(score)]
+
+    own, every = F.pmod(F.xxhash64("word"), F.lit(parts)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    left = vectors.select("word", "vector", own.alias("p"), every.alias("c"))
+    right = vectors.select("word", "vector", every.alias("p"), own.alias("c")).toDF("word", "vector", "p", "c")
+    pairs = left.groupBy("p", "c").cogroup(right.groupBy("p", "c")).applyInPandas(each, "word string, near string, similarity double")
+    order = Window.partitionBy("word").orderBy(F.desc("similarity"), "near")
+    return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
+
+
 # ---- factorisation
 
 

@@ -295,17 +295,18 @@ def logistic_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def word_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest words by skip-gram vectors of the passages."""
+    """The five nearest words of every word that the pairs have three times, by skip-gram vectors of their sentences.
+
+    Sentences count as often as they occur, as in the reference; fitting is Spark's with one partition, its default.
+    """
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
-    docs = spread(table(spark, d, "eval_passages"), 2).select(T.tokens(F.col("text")).alias("toks"))
+    f = faqs(spark, d)
+    texts = f.select(F.col("question").alias("s")).unionByName(f.select(F.explode(T.sentences(F.col("answer"))).alias("s")))
+    docs = spread(texts.select(T.tokens(F.col("s")).alias("toks")).where(F.size("toks") > 0), 2)
     model = Word2Vec(vectorSize=32, windowSize=5, minCount=3, seed=1, maxIter=2, inputCol="toks", outputCol="v").fit(docs)
-    words = [r["word"] for r in model.getVectors().select("word").orderBy("word").limit(20).collect()]
-    parts = [model.findSynonyms(w, 5).select(F.lit(w).alias("word"), F.col("word").alias("near"), "similarity") for w in words]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return learn.neighbours(model.getVectors().select("word", vector_to_array("vector").alias("vector")))
 
 
 @R.query()
