@@ -62,6 +62,17 @@ def autocomplete(spark: SparkSession, d: str) -> DataFrame:
     return learn.KneserNey(tri, bi).p(rows).withColumn("p", F.round("p", 9)).withColumn("k", F.row_number().over(w).cast("bigint")).where("k <= 5").select("a", "b", "w", F.round("p", 6).alias("p"), "k")
 
 
+@R.query(f"""with {_SENT}, {_KN}, h as (select a, b, w from (select a, b, w from tri union select c.a, c.b, bi.w from (select distinct a, b from tri) c join bi on c.b = bi.b) where w not in ('<s>', '</s>')), {_P},
+r as (select a, b, w, round(p, 9) as p, row_number() over (partition by a, b order by round(p, 9) desc, w) as k from with_p) select a, b, w, round(p, 6) as p, k from r where k <= 5""")
+def autocomplete_all(spark: SparkSession, d: str) -> DataFrame:
+    """The five likeliest next words after every context; those seen after its last word compete too, as in the reference."""
+    tri, bi = learn.gram_counts(learn.grams(_sentences(spark, d)))
+    after = tri.select("a", "b").distinct().join(bi.select("b", "w"), "b").select("a", "b", "w")
+    rows = tri.select("a", "b", "w").unionByName(after).distinct().where(~F.col("w").isin("<s>", "</s>"))
+    w = Window.partitionBy("a", "b").orderBy(F.desc("p"), "w")
+    return learn.KneserNey(tri, bi).p(rows).withColumn("p", F.round("p", 9)).withColumn("k", F.row_number().over(w).cast("bigint")).where("k <= 5").select("a", "b", "w", F.round("p", 6).alias("p"), "k")
+
+
 @R.query(f"""with e as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda z: z not in ({quoted(L.STOPWORDS)})) as t from eval_passages), u as (select item_id, generate_subscripts(t, 1) as i, unnest(t) as tok from e),
 o as (select a.tok as x, b.tok as y, count(*) as n from u a join u b on a.item_id = b.item_id and b.i - a.i between 1 and 4 group by all), s as (select x, y, sum(n) as n from (select x, y, n from o union all select y, x, n from o) group by all),
 m as (select x, sum(n) as r from s group by x), t as (select sum(n) as t from s), v as (select s.x, s.y, greatest(0, ln(n * t::double / (m.r * k.r / t::double))) as v from s join m on s.x = m.x join m k on s.y = k.x, t) select x, y, round(v, 6) as v from v where v > 0""")
