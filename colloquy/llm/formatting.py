@@ -196,8 +196,11 @@ def loose(column: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_: str, text: str, labels: list[str], attrs: str) -> DataFrame:
-    """(id, text, key) of the records that take part; the key holds the hashes and the other fields, nulls kept apart."""
-    rows = spread(df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text"), F.col(attrs).alias("attrs"), *(F.col(c).alias(f"l{i}") for i, c in enumerate(labels))))
+    """(id, text, key) of the records that take part; the key holds the hashes and the other fields, nulls kept apart.
+
+    A record without an id can't be named as a keeper or a copy and takes no part.
+    """
+    rows = spread(df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text"), F.col(attrs).alias("attrs"), *(F.col(c).alias(f"l{i}") for i, c in enumerate(labels))))
     rows = rows.withColumn("h", _hashed("text")).where(F.col("h.words") >= LEAST_WORDS)
     parts = [F.col(f"l{i}") for i in range(len(labels))]
     told = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), loose(p)), F.lit("-")) for p in parts), F.coalesce(F.concat(F.lit("="), _object_keys("attrs")), F.lit("-")))
