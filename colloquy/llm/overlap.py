@@ -1,15 +1,13 @@
 """The same or nearly the same record on both sides of a split.
 
-Method: a sparse suffix array over the word sequences of all texts, partitioned by leading words. If at most K words
-were inserted, deleted or replaced between two texts, one of any K+1 consecutive pieces of the training text occurs
-unchanged in the evaluation text, shifted by at most K words. So the training texts contribute their suffixes at the K+1
-piece starts, the evaluation texts their suffixes at every position where such a piece could have moved, both cut to the
-piece's length. Sorting the suffixes by these leading words and merging the two sides (a sort-merge join) puts
-cross-split suffixes with a long enough common prefix side by side; a banded edit distance over one character a word
-drops what only shares that span, and the surviving pairs of texts get the exact distance over their words. Nothing that
-is within K edits can be missed.
-
-Copies are collapsed before: suffixes belong to distinct word sequences ("classes"), ids come back at the end. A lead
+Method: a pigeonhole partition join over the word sequences of all texts. If at most K words were inserted, deleted or
+replaced between two texts, one of any K+1 consecutive pieces of the training text occurs unchanged in the evaluation
+text, shifted by at most K words. So the training texts contribute hashes of their K+1 pieces, the evaluation texts
+hashes at every position where such a piece could have moved, and equal ones are joined. No suffix array is built and no
+common spans are found or merged: a banded edit distance over one character a word drops what only shares that piece,
+and the surviving pairs of texts get the exact distance over their words. Nothing that is within K edits can be missed.
+
+Copies are collapsed before: pieces belong to distinct word sequences ("classes"), ids come back at the end. A lead
 shared by so many classes that its pairs would swamp a task (``HOT``) is dissolved: its texts are matched by j unchanged
 pieces of K+j at once, for growing j (``LEVELS``), which is exact as well and more selective each time: j pieces hold
 j/(K+j) of a text. Texts that are still alike in a hot lead of the last level differ in a few words only and are

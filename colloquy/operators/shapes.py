@@ -173,6 +173,17 @@ def subtype(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("path") == kind).select("root_id", *(f"pos{i + 1}" for i in range(depth)), "shape", *typed).distinct()
 
 
+def subtypes(rows: DataFrame) -> DataFrame:
+    """The typed tables of all kinds in one pass, told apart by ``path``; attributes that a kind lacks are null, positions
+    below its own are -1."""
+    kinds_of: dict[tuple[str, str], list[str]] = {}
+    for kind, attributes in SUBTYPES.items():
+        for name, type_ in attributes.items():
+            kinds_of.setdefault((name, type_), []).append(kind)
+    typed = [F.when(F.col("path").isin(kinds), F.expr(f"try_cast(attrs['{name}'] as {type_})")).alias(name) for (name, type_), kinds in kinds_of.items()]
+    return rows.select("root_id", "path", "pos1", "pos2", "pos3", "shape", *typed).distinct()
+
+
 def found(chat_logs: DataFrame, ner_examples: DataFrame, raw_records: DataFrame) -> DataFrame:
     """All child elements of the three nested tables as flat rows, each once.
 

@@ -42,6 +42,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.found(*(table(spark, d, t) for t in ("chat_logs", "ner_examples", "raw_records")))
 
 
+@R.query()
+def p6_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    """The typed rows of all kinds in the JSON exports."""
+    return shapes.subtypes(shapes.explode_json(table(spark, d, "raw_records")))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for part in PARTS for name, q in part.queries.items()}
 
