@@ -233,13 +233,13 @@ def svo_triples(spark: SparkSession, d: str) -> DataFrame:
 def hmm_decode(spark: SparkSession, d: str) -> DataFrame:
     """Tags of all token lists by the hidden Markov tagger."""
     rows = table(spark, d, "ner_examples").where("tokens is not null and size(tokens) > 0").select("id", "tokens").distinct()
-    model = tagging.hidden_markov(tagging.tagged_tokens(table(spark, d, "ner_examples")))
+    model, by_token = tagging.hidden_markov(tagging.tagged_tokens(table(spark, d, "ner_examples")))
 
     @arrow("array<string>")
     def decode(lists: list) -> list:
-        return [model.decode([(t or "").lower() for t in ts]) for ts in lists]
+        return [model.decode([dict(x) for x in counts]) for counts in lists]
 
-    return spread(rows).select("id", decode("tokens").alias("tags"))
+    return spread(tagging.with_counts(rows, by_token)).select("id", decode("counts").alias("tags"))
 
 
 @R.query()
