@@ -6,13 +6,16 @@ tables are asked in order (quotations, then each language's own exceptions, then
 whose patterns match before and after the position decides. Thai has no end marks: white space that touches Thai and no
 digit is a boundary there.
 
-All Latin-script tables cascade, because texts mix languages and carry wrong labels. Texts without any capital letter
-are read by the rules for caseless text. Offsets count code points of the original text, invisible format characters
+All Latin-script tables cascade, because texts mix languages and carry wrong labels. Every pattern sees the whole text
+around its position, however far apart words and blanks are. Texts in which hardly any line, or word behind an end mark,
+starts with a capital are read by the rules for caseless text. Offsets count code points of the original text, invisible format characters
 included. Null, empty and invisible texts give no sentence.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,8 +49,10 @@ MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okto
 #: German words before an ordinal number.
 DETERMINERS = "am dem der den des vom zum zur beim ab im die das jeder jeden jedem bis seit ihrem ihren seinem unserem einem"
 #: Words that go on with a sentence after a quotation or an abbreviation, where case can't tell.
-GOING_ON = "and or but so to for in on at of with that from until before after than said asked is was were are whispered repeated replied then as because which who und oder aber et ou mais y o pero aur ya lekin magar phir ke ki"
-AFTER_STOP = "and or but so said asked whispered repeated replied then et und y aur"
+GOING_ON = "and or but so to for in on at of with that from until before after than said asked is was were are then as because which who und oder aber et ou mais y o pero aur ya lekin magar phir ke ki"
+#: Verbs of saying, which go on with a sentence after what was said.
+SAYING = "said says asked asks replied replies answered repeated added whispered called cried sagt sagte fragt fragte fragen meint meinte antwortet ruft dit demande demandent répond ajoute dice dijo pregunta preguntan responde añade kehta kehti poocha"
+AFTER_STOP = "and or but so then et und y aur"
 GOING_ON_OTHER = "और या लेकिन फिर कि तथा اور یا لیکن پھر کہ مگر"
 
 
@@ -93,10 +98,13 @@ def _compiled(rules: list[Rule]) -> Compiled:
     return [(regex.compile("(?r)(?:" + "|".join(map(inline, befores)) + ")"), regex.compile(after), breaks) for befores, after, breaks in out]
 
 
+#: The table asked before all others: no break inside an address of the net. Its matches are found once a text.
+WEB, _WEB_HINT, _WEB_GOES_ON = regex.compile(r"(?i)(?:www|https?|@)\S*"), regex.compile(r"(?i)www|http|@"), regex.compile(r"[\p{L}\p{N}]")
+
+
 def tables(caseless: bool) -> list[Rule]:
     """The cascade for cased or caseless texts; ``before`` ends with the end marks (closing marks left out)."""
     out = [
-        _rule("web", False, r"(?i)(?:www|https?|@)[^\s]*\.", r"[\p{L}\p{N}]"),
         _rule("figures", False, r"\p{N}[.]", r"\p{N}"),
         *([_rule("caseless", True, r"\p{Ll}{3}[.]", r"\p{Ll}{2}")] if caseless else []),
         _rule("figures", False, r"[.]", r"[\p{Ll}\p{N}\p{Pd}_/@ºª,;:]"),
@@ -153,9 +161,9 @@ def quotation_tables(caseless: bool) -> list[Rule]:
         _rule("cjk", True, r"[。！？…][”」』]", r"\s*[“「『《（\p{N}\p{L}]"),
     ]
     if caseless:
-        out.append(_rule("caseless", False, r"[.…]\s*[\p{P}]", rf"\s*(?:{_any(AFTER_STOP)})(?![\p{{L}}\p{{M}}])"))
+        out.append(_rule("caseless", False, r"[.…]\s*[\p{P}]", rf"\s*(?:{_any(AFTER_STOP + ' ' + SAYING)})(?![\p{{L}}\p{{M}}])"))
         out.append(_rule("caseless", True, r"[.…]\s*[\p{P}]", r"\s*\S"))
-        out.append(_rule("caseless", False, r"[!?]\s*[\p{P}]", rf"\s*(?:{_any(GOING_ON)}|demandent|preguntan|fragen)(?![\p{{L}}\p{{M}}])"))
+        out.append(_rule("caseless", False, r"[!?]\s*[\p{P}]", rf"\s*(?:{_any(GOING_ON + ' ' + SAYING)})(?![\p{{L}}\p{{M}}])"))
         out.append(_rule("caseless", True, r"[\s\S]", r"\s+\S"))
     else:
         out.append(_rule("quotation", False, r"[\s\S]", r"\s*\p{Ll}"))
@@ -170,13 +178,18 @@ def _tables(caseless: bool) -> tuple[Compiled, Compiled, Compiled]:
     return _compiled(rules), _compiled([r for r in rules if not r.stop_only]), _compiled(quotation_tables(caseless))
 
 
-_ATTRIBUTION = regex.compile(r"\s*[^。！？“”「」]{1,20}(?:说|道|问|答|喊|叫|写|说道|问道)[。！？]")
+_ATTRIBUTION = regex.compile(r"\s*[^。！？“”「」]+(?:说|道|问|答|喊|叫|写|说道|问道)[。！？]")
 _BLANK = regex.compile(r"\n\s*\n")
 _LIST = regex.compile(r"[ \t　]*(?P<mark>[-*•‣▪◦●○–—+·]|\p{N}{1,3}[.)]|[\p{N}]{1,3}[、．]|\(?[a-zA-Z]\))[ \t 　]+(?=\S)")
 _SURE = "*•‣▪◦●○"
 _CAND = regex.compile(rf"[{regex.escape(ENDS)}]+")
 _THAI, _THAI_LETTER = regex.compile(r"\s+"), regex.compile(r"\p{Thai}")
-_UPPERS, _PAIRED = regex.compile(r"\p{Lu}"), regex.compile("[" + regex.escape("".join(PAIRS)) + "]")
+_SEEN = regex.compile(r"\S")
+#: Letters where a capital would tell a start: behind the start of a line or an end mark and a blank.
+_START = re.compile(r"(?:\n|[.!?…]\s)[\W\d_]*([^\W\d_])")
+#: One capital start in so many leaves a text caseless.
+CAPITALS = 8
+_PAIRED = regex.compile("[" + regex.escape("".join(PAIRS)) + "]")
 
 
 # What is dropped (invisible characters but the joiner of emoji, and the carriage return of a pair), and what is unified.
@@ -195,38 +208,48 @@ def _visible(text: str) -> tuple[str, range | np.ndarray]:
     return seen, np.delete(np.arange(len(text)), dropped) if dropped else range(len(text))
 
 
+def _partners(text: str, opener: str) -> dict[int, int]:
+    """Where each ``opener`` is closed, nested ones counted; one pass over its marks."""
+    out, open_ = {}, []
+    for m in regex.finditer("[" + regex.escape(opener + PAIRS[opener]) + "]", text):
+        i = m.start()
+        if text[i] in PAIRS[opener]:
+            if open_:
+                out[open_.pop()] = i
+        else:
+            open_.append(i)
+    return out
+
+
 def _spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is_bracket) of outermost quotations and brackets, end exclusive; marks without a partner are ignored."""
-    out, i, n = [], 0, len(text)
+    out, known, i = [], {}, 0
     while m := _PAIRED.search(text, i):
-        i = m.start()
-        c = text[i]
-        if c in PAIRS:
-            before, after = text[i - 1 : i], text[i + 1 : i + 2]
-            if c in '"”»' and not ((not before or before.isspace() or before in "([（¿¡،,:：") and after and not after.isspace()):
-                i += 1
-                continue
-            depth, j = 1, i + 1
-            while j < n:
-                d = text[j]
-                if d in PAIRS[c] and not (d == '"' and text[j + 1 : j + 2].isalnum() and text[j - 1].isspace()):
-                    depth -= 1
-                    if not depth:
-                        break
-                elif d == c and c not in '"':
-                    depth += 1
-                j += 1
-            if depth == 0 and j < n:
-                out.append((i, j + 1, c in BRACKETS))
-                i = j + 1
-                continue
-        i += 1
+        i, c = m.start(), m[0]
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        if c in '"”»' and not ((not before or before.isspace() or before in "([（¿¡،,:：") and after and not after.isspace()):
+            i += 1
+            continue
+        if c not in known:
+            straight = lambda j: not (text[j + 1 : j + 2].isalnum() and text[j - 1 : j].isspace())
+            known[c] = [x.start() for x in regex.finditer('"', text) if straight(x.start())] if c == '"' else _partners(text, c)
+        if c == '"':
+            k = bisect_left(known[c], i + 1)
+            end = known[c][k] if k < len(known[c]) else -1
+        else:
+            end = known[c].get(i, -1)
+        if end < 0:
+            i += 1
+        else:
+            out.append((i, end + 1, c in BRACKETS))
+            i = end + 1
     return out
 
 
-def _decide(rules: Compiled, before: str, after: str) -> bool:
+def _decide(rules: Compiled, text: str, start: int, stop: int, end: int) -> bool:
+    """The verdict of the first rule that matches ``text`` backwards from ``stop`` (not beyond ``start``) and on from ``end``."""
     for left, right, breaks in rules:
-        if right.match(after) and left.match(before):
+        if right.match(text, end) and left.match(text, start, stop):
             return breaks
     return False
 
@@ -245,22 +268,30 @@ def _plain_stop(text: str, a: int, b: int, start: int, caseless: bool) -> bool:
 
 
 def _caseless(text: str) -> bool:
-    """Fewer than one capital in 400 small letters or so; counting stops as soon as that is ruled out."""
+    """Whether fewer than one in ``CAPITALS`` of the letters that start a line or follow an end mark and a blank are capitals.
+
+    A share, so a text is read alike at every length; text without cased letters there is caseless too.
+    """
     if text.islower():
         return True
-    most = len(text) // 400
-    for n, _ in enumerate(_UPPERS.finditer(text)):
-        if n >= most:
-            return False
-    return True
+    starts = _START.findall("\n" + text)
+    capital = sum(map(str.isupper, starts))
+    return not capital or capital * CAPITALS < capital + sum(map(str.islower, starts))
+
+
+def _inside(spans: list[tuple[int, int, bool]], starts: list[int], at: int) -> bool:
+    """Whether a position lies strictly inside one of the disjoint spans."""
+    k = bisect_left(starts, at) - 1
+    return k >= 0 and at < spans[k][1]
 
 
 def _running(text: str, caseless: bool) -> list[int]:
     """Boundaries (ends of sentences) in running text."""
     stops, others, quoted = _tables(caseless)
     spans = _spans(text) if _PAIRED.search(text) else []
-    ends, start = [], 0
-    k = 0
+    web = [m.span() for m in WEB.finditer(text)] if _WEB_HINT.search(text) else []
+    ends, start, seen = [], 0, len(text.rstrip())
+    k, w, core = 0, 0, (-1, 0)
     for m in _CAND.finditer(text):
         a, b = m.span()
         if b <= start:
@@ -269,39 +300,49 @@ def _running(text: str, caseless: bool) -> list[int]:
             k += 1
         if k < len(spans) and spans[k][0] < a:
             s, e, bracket = spans[k]
-            tail = text[b : e - 1]
-            if tail.strip() and not all(c in CLOSERS or c.isspace() for c in tail):
+            if core[0] != k:  # where the last character is that neither closes nor is white space
+                last = e - 1
+                while last > s and (text[last - 1] in CLOSERS or text[last - 1].isspace()):
+                    last -= 1
+                core = (k, last)
+            if b < core[1]:
                 continue
             end = e
             while end < len(text) and text[end] in CLOSERS and not any(x == end for x, _, _ in spans[k + 1 : k + 2]):
                 end += 1
             if end < len(text) and text[end] in ENDS:
                 continue  # the end mark behind the quotation decides
-            opens = not text[start:s].strip()
+            opens = not _SEEN.search(text, start, s)
             if bracket and not opens:
                 continue
-            if opens and text[e - 1] in "”」』" and _ATTRIBUTION.match(text[end:]):
+            if opens and text[e - 1] in "”」』" and _ATTRIBUTION.match(text, end):
                 continue
-            if end < len(text) and text[end:].strip() and _decide(quoted, text[max(start, a - 40) : e], text[end : end + 60]):
+            if end < seen and _decide(quoted, text, start, e, end):
                 ends.append(end)
                 start = end
             continue
         end = b
         while end < len(text) and text[end] in CLOSERS and not (text[end] in '"”“' and any(s == end for s, _, _ in spans[k : k + 2])):
             end += 1
-        rest = text[end : end + 60]
-        if rest.strip() and (_plain_stop(text, a, b, start, caseless) and end == b or _decide(stops if text[b - 1] == "." else others, text[max(start, a - 40) : b], rest)):
+        if end >= seen:
+            continue
+        while w < len(web) and web[w][1] <= a:
+            w += 1
+        if w < len(web) and web[w][0] < a and text[b - 1] == "." and _WEB_GOES_ON.match(text, end):
+            continue
+        if _plain_stop(text, a, b, start, caseless) and end == b or _decide(stops if text[b - 1] == "." else others, text, start, b, end):
             ends.append(end)
             start = end
     if _THAI_LETTER.search(text):
+        starts = [s for s, _, _ in spans]
         for m in _THAI.finditer(text):
             a, b = m.span()
-            if not a or b == len(text) or any(s < a < e for s, e, _ in spans):
+            if not a or b == len(text) or _inside(spans, starts, a):
                 continue
             left, right = text[a - 1], text[b]
             if left.isdigit() or right.isdigit():
                 continue
-            if "฀" <= left <= "๿" and (right not in CLOSERS + ENDS + ",;:" or any(x == b for x, _, _ in spans)):
+            if "฀" <= left <= "๿" and (right not in CLOSERS + ENDS + ",;:" or (j := bisect_left(starts, b)) < len(starts) and starts[j] == b):
                 ends.append(a)
     return sorted(set(ends))
 

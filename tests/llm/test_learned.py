@@ -194,3 +194,21 @@ def test_odd_sentences():
         for s, e in sentences(text):
             assert last <= s < e <= len(text) and not text[s].isspace() and not text[e - 1].isspace()
             last = e
+
+
+def test_sentences_see_the_whole_text():
+    cut = lambda t: [t[a:b] for a, b in sentences(t)]
+    assert cut("One two three." + " " * 70 + "Four five six.") == ["One two three.", "Four five six."]
+    url = "https://example.org/" + "a/very/long/path/" * 6 + "page.Html"
+    assert cut(f"Read {url} first. Then go on.") == [f"Read {url} first.", "Then go on."]
+    said = "张医生" + "在门诊里非常耐心地对每一位前来复查的病人和家属" * 2 + "说。"
+    assert cut(f"“请按时吃药。”{said}然后他走了。") == [f"“请按时吃药。”{said}", "然后他走了。"]
+    # Case is judged by a share of the starts, not by the length of the text.
+    one = "take it with water. do not stop it suddenly. call us if it hurts. "
+    for n in (1, 4, 200):
+        assert len(cut(one * n)) == len(cut(one * n + "ECG in room B. ")) - 1 == 3 * n
+
+
+def test_many_open_marks_take_linear_time():
+    assert len(sentences(":( \u201e " * 50_000)) == 1
+    assert len(sentences("(a) " * 50_000 + "Yes. No.")) == 2
