@@ -1,10 +1,14 @@
 """Personal information in free text: a semi-Markov conditional random field over whole spans.
 
-Candidate spans of each kind are proposed from tokens (number groups, mail patterns, runs of name-like words, runs around
-street words); a linear model scores each span as a whole (its shape, its content, its neighbours), everything outside
-spans scores zero, and dynamic programming over segments of bounded length picks the best set of spans, boundaries and
-types together. The model is trained here, on synthetic turns, by stochastic gradient ascent of the conditional
-likelihood with exact marginals over the lattice of candidates.
+Candidate spans of each kind are proposed from the shape of tokens (number groups, codes of letters and digits, mail
+patterns, runs of words that are capitalised, unknown or follow words that introduce names, runs that hold a figure and
+such a word); a linear model scores each span as a whole (its shape, its content, its neighbours) and each pair of kinds
+that follow one another in a turn, everything outside spans scores zero, and dynamic programming over segments of bounded
+length picks the best set of spans, boundaries and types together. The bounds are ``NAME_TOKENS``, ``ADDRESS_TOKENS`` and
+``NUMBER_GROUPS``; a run of more number groups is still a candidate as a whole, and so is a single group of any length,
+so no digits are left standing beside a placeholder for want of a candidate. The model is trained here, on synthetic
+turns, by stochastic gradient ascent of the conditional likelihood with exact marginals over the lattice of candidates;
+a process trains it once.
 
 Null, empty and blank turns have no spans. Offsets count code points. Titles are no part of a name. Sessions delivered
 twice count once.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import math
 import random
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -22,23 +27,25 @@ import regex
 from pyspark.sql import DataFrame
 
 from colloquy.functions.lazy import arrow
-from colloquy.llm.personal_seeds import Maker, literal_words
+from colloquy.llm.personal_seeds import Maker, introductions, literal_words
 from colloquy.llm.seeds import SEEDS
 from colloquy.session import spread
 
 KINDS = ("name", "email", "phone", "identity", "address")
 #: Synthetic turns to train on, passes over them, regularisation, and the bounds of spans in tokens.
-TURNS, PASSES, SHRINK, NAME_TOKENS, ADDRESS_TOKENS = 5_000, 3, 1e-5, 7, 14
+TURNS, PASSES, SHRINK, NAME_TOKENS, ADDRESS_TOKENS, NUMBER_GROUPS = 8_000, 3, 1e-5, 8, 16, 12
 #: Turns whose spans a worker keeps; bounds memory only.
 KEPT = 100_000
 
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+|[^\s]")
+_TOKEN = regex.compile(r"(?V1)\p{Han}|[[\p{L}\p{M}]--\p{Han}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+|[^\s]")
 _PART, _HOST = r"[\p{L}\p{N}_+%-]+", r"[\p{L}\p{N}-]+"
 #: Mail addresses by style: as they are, with the signs in brackets, with the signs in words.
 _EMAILS = {
     style: (regex.compile(rf"(?i){_PART}(?:{dot}{_PART})*{at}{_HOST}(?:{dot}{_HOST})+"), regex.compile(f"(?i){at}"), regex.compile(f"(?i){dot}"))
     for style, at, dot in (("plain", "@", r"\."), ("bracket", r"\s?[\[({]\s?at\s?[\])}]\s?", r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"), ("words", r"\s+at\s+", r"(?:\s+dot\s+)"))
 }
+_HAN = regex.compile(r"\p{Han}")
+_CODE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?=\p{N}*[\p{L}])(?=\p{L}*\p{N})[\p{L}\p{N}]+(?![\p{L}\p{M}\p{N}])")
 _GROUPS = regex.compile(r"[+(]{0,2}\p{N}(?:[\p{N}().+/\s-]{0,3}\p{N})*")
 #: Digits spelled out, words of addresses, titles, by language.
 SPELLED = "zero one two three four five six seven eight nine oh double triple null eins zwei drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq six sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve sifar aik do teen chaar paanch chhe saat aath nau".split()
@@ -63,6 +70,8 @@ def _shape(token: str) -> str:
         return "9"
     if not token[0].isalpha():
         return token
+    if _HAN.match(token):
+        return "h"
     if len(token) == 1:
         return "I" if token.isupper() else "i"
     if token.isupper():
@@ -87,6 +96,8 @@ class Turn:
         self._last = {e: i + 1 for i, e in enumerate(self.ends)}
         self.spans: list[tuple[int, int, str, list[str]]] = []
         self._taken: set[tuple[int, int, str]] = set()
+        self._lefts: dict[int, list[str]] = {}
+        self._rights: dict[int, list[str]] = {}
         if "@" in text or "at" in text or "AT" in text or "At" in text:
             for style, (pattern, at, dot) in _EMAILS.items():
                 for m in pattern.finditer(text, overlapped=True):
@@ -95,20 +106,32 @@ class Turn:
         self._names()
         self._addresses()
 
-    def _near(self, i: int, j: int) -> list[str]:
-        low = self.lower
-        p1, p2 = low[i - 1] if i else "<s>", low[i - 2] if i > 1 else "<s>"
-        n1, n2 = low[j] if j < len(low) else "</s>", low[j + 1] if j + 1 < len(low) else "</s>"
-        if i and "\n" in self.text[self.ends[i - 1] : self.starts[i]]:
-            p1, p2 = "<s>", "<s>"
-        if j < len(low) and "\n" in self.text[self.ends[j - 1] : self.starts[j]]:
-            n1, n2 = "</s>", "</s>"
-        return [f"p1={p1}", f"p2={p2} {p1}", f"n1={n1}", f"n2={n1} {n2}"]
+    def _before(self, i: int) -> list[str]:
+        """What stands before token ``i``; worked out once."""
+        got = self._lefts.get(i)
+        if got is None:
+            low = self.lower
+            p1, p2 = low[i - 1] if i else "<s>", low[i - 2] if i > 1 else "<s>"
+            if i and "\n" in self.text[self.ends[i - 1] : self.starts[i]]:
+                p1, p2 = "<s>", "<s>"
+            got = self._lefts[i] = [f"p1={p1}", f"p2={p2} {p1}"]
+        return got
+
+    def _after(self, j: int) -> list[str]:
+        """What stands from token ``j`` on."""
+        got = self._rights.get(j)
+        if got is None:
+            low = self.lower
+            n1, n2 = low[j] if j < len(low) else "</s>", low[j + 1] if j + 1 < len(low) else "</s>"
+            if j < len(low) and "\n" in self.text[self.ends[j - 1] : self.starts[j]]:
+                n1, n2 = "</s>", "</s>"
+            got = self._rights[j] = [f"n1={n1}", f"n2={n1} {n2}"]
+        return got
 
     def _add(self, i: int, j: int, kind: str, features: list[str]) -> None:
         if (i, j, kind) not in self._taken:
             self._taken.add((i, j, kind))
-            self.spans.append((i, j, kind, [f"{kind}:{f}" for f in ("bias", *self._near(i, j), *features)]))
+            self.spans.append((i, j, kind, ["bias", *self._before(i), *self._after(j), *features]))
 
     def _email(self, m: regex.Match, style: str, at: regex.Pattern, dot: regex.Pattern) -> None:
         """Every start of a word before the sign is proposed, as words before a disguised address aren't part of it."""
@@ -130,13 +153,17 @@ class Turn:
                 continue
             for x in range(len(groups)):
                 digits = 0
-                for y in range(x, min(len(groups), x + 8)):
+                for y in range(x, min(len(groups), x + NUMBER_GROUPS)):
                     digits += groups[y][1] - groups[y][0]
-                    if digits > 16:
-                        break
-                    if digits < 6:
-                        continue
-                    self._number(m, groups, x, y, digits)
+                    if digits >= 6:
+                        self._number(m, groups, x, y, digits)
+            if len(groups) > NUMBER_GROUPS:
+                self._number(m, groups, 0, len(groups) - 1, sum(b - a for a, b in groups))
+        for m in _CODE.finditer(self.text):
+            digits = sum(c.isdigit() for c in m[0])
+            i, j = self._first.get(m.start()), self._last.get(m.end())
+            if digits >= 5 and i is not None and j is not None:
+                self._add(i, j, "identity", [f"code={min(digits, 20)}", f"letters={min(len(m[0]) - digits, 4)},{m[0].isupper()}", f"code shape={self.shapes[i]} {min(j - i, 4)}"])
         # Letters before a number belong to identity numbers; spelled digits are telephone numbers.
         i, low = 0, self.lower
         while i < len(low):
@@ -161,7 +188,9 @@ class Turn:
         i, j = self._first.get(start), self._last.get(end)
         if i is None or j is None:
             return
-        pattern = "-".join(str(b - a) for a, b in groups[x : y + 1])
+        digits = min(digits, 20)
+        sizes = [min(b - a, 16) for a, b in groups[x : y + 1]]
+        pattern = "-".join(map(str, sizes)) if len(sizes) <= 6 else f"{min(sizes)}..{max(sizes)}x{min(len(sizes), NUMBER_GROUPS)}"
         gaps = "".join(sorted({text[a:b] for (_, a), (b, _) in zip(groups[x:y], groups[x + 1 : y + 1])}))
         head = lead or ("00" if text[start:end].startswith("00") else "0" if text[start] in "0۰०" else "9")
         more = x > 0, y + 1 < len(groups)
@@ -175,14 +204,22 @@ class Turn:
 
     def _names(self) -> None:
         n, tokens, shapes, known, low = len(self.tokens), self.tokens, self.shapes, self.known, self.lower
-        fit = [s in ("Xx", "XX", "x", "o", "I", "i") and (not k or s == "Xx" or s == "I") and w not in _TITLES for s, k, w in zip(shapes, known, low)]
+        words_ = [s in ("Xx", "XX", "x", "o", "I", "i") and w not in _TITLES for s, w in zip(shapes, low)]
+        fit = [f and (not k or s == "Xx" or s == "I") for f, s, k in zip(words_, shapes, known)]
         fit = [f or s in ("I", "i") and j + 1 < n and tokens[j + 1] == "." for j, (f, s) in enumerate(zip(fit, shapes))]
         for i in range(n):
-            if not fit[i] or (i and tokens[i - 1] in ("@", "_", "+") and self.ends[i - 1] == self.starts[i]):
+            if shapes[i] == "h":
+                for j in range(i + 2, min(n, i + 4) + 1):
+                    if shapes[j - 1] != "h" or self.ends[j - 2] != self.starts[j - 1]:
+                        break
+                    self._name(i, j, j - i)
+                continue
+            introduced = words_[i] and i > 0 and (low[i - 2] if i > 1 else "", low[i - 1]) in introductions()
+            if not (fit[i] or introduced) or (i and tokens[i - 1] in ("@", "_", "+") and self.ends[i - 1] == self.starts[i]):
                 continue
             words, j = 0, i
             while j < min(n, i + NAME_TOKENS) and words < 5:
-                if fit[j]:
+                if fit[j] or introduced and words_[j]:
                     words += 1
                     j += 1
                     self._name(i, j, words)
@@ -200,7 +237,7 @@ class Turn:
         first = not i or self.tokens[i - 1] in ".!?:\n"
         after = self.shapes[j] if j < len(self.tokens) else "</s>"
         before = self.shapes[i - 1] if i else "<s>"
-        near = self._near(i, j)
+        near = [*self._before(i), *self._after(j)]
         features = [f"shape={shape}", f"words={words}", f"known={words - unknown}", f"known={words - unknown},{shape}", f"first={first},{shape}", f"after={after}", f"before={before}", f"shape={shape},{near[0]}", f"words={words},{near[2]}", f"title={self.lower[i - 1] in _TITLES or self.lower[i - 2 : i] and self.lower[i - 2] in _TITLES and self.tokens[i - 1] == '.' if i else False}"]
         features += [f"end={self.lower[j - 1][-3:]}", f"end={self.lower[j - 1][-4:]}"]
         if j < len(self.tokens):
@@ -215,7 +252,7 @@ class Turn:
     def _addresses(self) -> None:
         n, low, shapes = len(self.tokens), self.lower, self.shapes
         cue = [w in _STREETS or bool(_STREET_END.search(w)) for w in low]
-        if not any(cue) and not any(w in ("am", "an", "in") for w in low):
+        if "9" not in shapes:
             return
         fit = [c or s == "9" or s in (",", "-", "/", ".", "º", "ª") or w in _JOINING or (s in ("I", "i")) or (s in ("Xx", "XX", "x", "o") and (not k or s == "Xx")) for c, s, w, k in zip(cue, shapes, low, self.known)]
         # A full stop belongs to an address only inside it: before an ordinal sign, or after a short form.
@@ -226,13 +263,14 @@ class Turn:
         for i in range(n):
             if not opens[i]:
                 continue
-            figures = cues = 0
+            figures = cues = named = 0
             for j in range(i + 1, min(n, i + ADDRESS_TOKENS) + 1):
                 if not fit[j - 1]:
                     break
                 figures += shapes[j - 1] == "9"
                 cues += cue[j - 1]
-                if not figures or shapes[j - 1] in (",", "-", "/", ".") or j - i < 2 or not (cues or low[i] in ("am", "an")):
+                named += shapes[j - 1] in ("Xx", "XX", "o")
+                if not figures or shapes[j - 1] in (",", "-", "/", ".") or j - i < 2 or not (cues or named):
                     continue
                 self._address(i, j, figures, cues, cue)
 
@@ -249,77 +287,131 @@ class Turn:
         self._add(i, j, "address", features)
 
 
+#: Score of what can't be.
+NEVER = -1e9
+#: What came last in a turn: nothing yet, or a kind.
+STATES = ("none", *KINDS)
+
+
 class SpanModel:
-    """Weights of span features; exact inference over the lattice of candidates."""
+    """Weights of span features by kind and of successions of kinds; exact inference over the lattice of candidates.
 
-    def __init__(self, weights: dict[str, float] | None = None) -> None:
-        self.weights = weights if weights is not None else {}
+    A state is the kind of the last span so far, so a span is scored with the kind that came before it in the turn.
+    """
 
-    def _by_end(self, turn: Turn) -> list[list[tuple[int, float, int]]]:
-        get = self.weights.get
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(len(turn.tokens) + 1)]
-        for k, (i, j, _, features) in enumerate(turn.spans):
-            ends[j].append((i, sum([get(f, 0.0) for f in features]), k))
-        return ends
+    def __init__(self, weights: dict[str, dict[str, float]] | None = None) -> None:
+        self.weights = weights if weights is not None else {kind: {} for kind in (*KINDS, "after")}
+
+    def scores(self, turn: Turn) -> list[float]:
+        """The score of each candidate without what came before it."""
+        gets = {kind: self.weights[kind].get for kind in KINDS}
+        return [sum([get(f, 0.0) for f in features]) for get, features in ((gets[kind], features) for _, _, kind, features in turn.spans)]
+
+    def _after(self) -> list[list[float]]:
+        get = self.weights["after"].get
+        return [[get(f"{a}>{b}", 0.0) for b in KINDS] for a in STATES]
 
     def best(self, turn: Turn) -> list[tuple[int, int, str]]:
         """(first token, end token, kind) of the best segmentation."""
         if not turn.spans:
             return []
-        ends = self._by_end(turn)
-        score, back = [0.0], [-1]
-        for j in range(1, len(ends)):
-            top, by = score[j - 1], -1
-            for i, s, k in ends[j]:
-                if score[i] + s > top:
-                    top, by = score[i] + s, k
-            score.append(top)
-            back.append(by)
-        out, j = [], len(ends) - 1
-        while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, end, kind, _ = turn.spans[back[j]]
-                out.append((i, end, kind))
-                j = i
+        after, scores = self._after(), self.scores(turn)
+        order = sorted(range(len(turn.spans)), key=lambda k: turn.spans[k][1])
+        # best[state] at the last position reached, as (score, chain of spans); kept for every position where a span ends.
+        now: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        at, marks = [0], [dict(now)]
+        for k in order:
+            i, j, kind, _ = turn.spans[k]
+            if at[-1] != j:
+                at.append(j)
+                marks.append(dict(marks[-1]))
+            before, to = marks[bisect_right(at, i) - 1], KINDS.index(kind)
+            score, came = max(((s + after[state][to], state) for state, (s, _) in before.items()), key=lambda x: x[0])
+            score += scores[k]
+            if to + 1 not in marks[-1] or score > marks[-1][to + 1][0]:
+                marks[-1][to + 1] = (score, (k, before[came][1]))
+        chain, out = max(marks[-1].values(), key=lambda x: x[0])[1], []
+        while chain:
+            i, j, kind, _ = turn.spans[chain[0]]
+            out.append((i, j, kind))
+            chain = chain[1]
         return out[::-1]
 
-    def marginals(self, turn: Turn) -> list[float]:
-        """Probability of each candidate span, by forward and backward sums."""
-        ends = self._by_end(turn)
-        n = len(ends) - 1
-        forward = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            forward[j] = _logsum([forward[j - 1], *(forward[i] + s for i, s, _ in ends[j])])
-        starts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        scores = [0.0] * len(turn.spans)
-        for j in range(1, n + 1):
-            for i, s, k in ends[j]:
-                starts[i].append((j, s))
-                scores[k] = s
-        backward = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            backward[i] = _logsum([backward[i + 1], *(backward[j] + s for j, s in starts[i])])
-        return [math.exp(forward[i] + scores[k] + backward[j] - forward[n]) for k, (i, j, _, _) in enumerate(turn.spans)]
+    def marginals(self, turn: Turn) -> tuple[list[float], dict[str, float]]:
+        """(probability of each candidate, expected number of each succession of kinds), by forward and backward sums.
+
+        Only kinds that the turn has candidates of can be states of it.
+        """
+        scores, spans = self.scores(turn), turn.spans
+        here = sorted({s[2] for s in spans})
+        states, to_ = ["none", *here], [here.index(s[2]) for s in spans]
+        get = self.weights["after"].get
+        after = [[get(f"{a}>{b}", 0.0) for b in here] for a in states]
+        cuts = sorted({0} | {s[0] for s in spans} | {s[1] for s in spans})
+        place = {c: k for k, c in enumerate(cuts)}
+        first, last = [place[s[0]] for s in spans], [place[s[1]] for s in spans]
+        n, every = len(cuts), range(len(states))
+        starts: list[list[int]] = [[] for _ in range(n)]
+        ends: list[list[int]] = [[] for _ in range(n)]
+        for k in range(len(spans)):
+            starts[first[k]].append(k)
+            ends[last[k]].append(k)
+        forward = [[0.0] + [NEVER] * len(here)]
+        came = [0.0] * len(spans)
+        for c in range(1, n):
+            sums = [[v] for v in forward[c - 1]]
+            for k in ends[c]:
+                row, to = forward[first[k]], to_[k]
+                came[k] = _logsum([row[a] + after[a][to] for a in every])
+                sums[to + 1].append(came[k] + scores[k])
+            forward.append([_logsum(x) for x in sums])
+        backward = [[0.0] * len(states)] * n
+        for c in range(n - 2, -1, -1):
+            backward[c] = backward[c + 1]
+            if starts[c]:
+                on = [(to_[k], scores[k] + backward[last[k]][to_[k] + 1]) for k in starts[c]]
+                backward[c] = [_logsum([backward[c + 1][a], *[v + after[a][to] for to, v in on]]) for a in every]
+        total = _logsum(forward[-1])
+        out, pairs = [], dict.fromkeys((f"{a}>{b}" for a in states for b in here), 0.0)
+        for k in range(len(spans)):
+            tail = scores[k] + backward[last[k]][to_[k] + 1] - total
+            out.append(math.exp(came[k] + tail))
+            if out[-1] > 1e-6:
+                for a in every:
+                    pairs[f"{states[a]}>{spans[k][2]}"] += math.exp(forward[first[k]][a] + after[a][to_[k]] + tail)
+        return out, pairs
 
     def fit(self, examples: list[tuple[Turn, set[tuple[int, int, str]]]], passes: int, seed: int = 5) -> None:
         """Adaptive gradient ascent of the conditional log-likelihood."""
-        seen: dict[str, float] = defaultdict(lambda: 1e-3)
+        seen: dict[str, dict[str, float]] = {kind: defaultdict(lambda: 1e-3) for kind in self.weights}
         rnd = random.Random(seed)
+
+        def move(kind: str, feature: str, step: float) -> None:
+            weights, squares = self.weights[kind], seen[kind]
+            w = weights.get(feature, 0.0)
+            g = step - SHRINK * w
+            squares[feature] = sq = squares[feature] + g * g
+            weights[feature] = w + 0.25 * g / sq**0.5
+
         for _ in range(passes):
             rnd.shuffle(examples)
             for turn, gold in examples:
                 if not turn.spans:
                     continue
-                for p, (i, j, kind, features) in zip(self.marginals(turn), turn.spans):
+                chances, pairs = self.marginals(turn)
+                last = "none"
+                for _, _, kind in sorted(gold):
+                    pairs[f"{last}>{kind}"] -= 1
+                    last = kind
+                for pair, p in pairs.items():
+                    if abs(p) > 1e-3:
+                        move("after", pair, -p)
+                for p, (i, j, kind, features) in zip(chances, turn.spans):
                     step = ((i, j, kind) in gold) - p
                     if -1e-3 < step < 1e-3:
                         continue
                     for f in features:
-                        g = step - SHRINK * self.weights.get(f, 0.0)
-                        seen[f] += g * g
-                        self.weights[f] = self.weights.get(f, 0.0) + 0.25 * g / math.sqrt(seen[f])
+                        move(kind, f, step)
 
 
 def _logsum(values: list[float]) -> float:
@@ -330,13 +422,14 @@ def _logsum(values: list[float]) -> float:
 def example(text: str, spans: list[tuple[str, int, int]]) -> tuple[Turn, set[tuple[int, int, str]]]:
     turn = Turn(text)
     gold = {(turn._first[s], turn._last[e], kind) for kind, s, e in spans if s in turn._first and e in turn._last}
-    return turn, gold
+    return turn, gold & turn._taken
 
 
+@lru_cache(4)
 def train(turns: int = TURNS, passes: int = PASSES, seed: int = 11) -> SpanModel:
     maker, model = Maker(seed), SpanModel()
     model.fit([example(*maker.turn()) for _ in range(turns)], passes)
-    model.weights = {f: round(w, 4) for f, w in model.weights.items() if abs(w) > 1e-3}
+    model.weights = {kind: {f: round(w, 4) for f, w in ws.items() if abs(w) > 1e-3} for kind, ws in model.weights.items()}
     return model
 
 

@@ -2,12 +2,13 @@
 
 Slots: {name} any form of a full name, {first}, {last}, {email}, {phone}, {id}, {addr}; {adr_de}, {adr_fr}, {adr_es} and
 {adr_ur} addresses of one language; {nur}, {nhi} names in Urdu and Devanagari script; harmless: {med} a medicine,
-{place} a clinic's name, {n} a number, {d} a decimal, {code} a code, {cond} a disease named after someone.
+{place} a clinic's name, {n} a number, {d} a decimal, {code} a code, {w} and {W} made-up words of running text, {cond} a disease named after someone.
 """
 
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 from colloquy.llm.seeds import SEEDS
 
@@ -30,7 +31,21 @@ mera naam {name} hai aur number {phone} hai|mera naam {name} hai|shanakhti card
 میرا نام {nur} ہے اور نمبر {phone} ہے|میرا نام {name} ہے اور نمبر {phone} ہے|شناختی کارڈ {id} ہے رپورٹ بھیج دیں|رپورٹ {email} پر بھیج دیں|میرا پتہ {adr_ur} ہے
 मेरा नाम {nhi} है और नंबर {phone} है|मेरा नाम {name} है और नंबर {phone} है|मेरा पहचान पत्र {id} है|रिपोर्ट {email} पर भेज दीजिए|मेरा पता {adr_ur} है
 """
+WITH_MORE = """
+{adr_any}|{adr_any}|{addr}|{name}|{phone}|{id}|{email}|{nzh}|{name}, {phone}|{name}\n{adr_any}\n{phone}
+{name} is the patient|the patient is called {name}|the appointment is for {name}, born in march|i booked under {name}|under the name {name}|could you put {name} on the list|{name} will pick up the report|the chart of {name} is missing|signed by {name}|sincerely, {name}|this was written by {name}|{name} asked for a call back|it is {name} calling|you spoke to {name} yesterday|our neighbour {name} can drive her
+reach {name} at {phone}|{name} ({phone})|{name}, {adr_any}|{name} lives at {adr_any}|ship it to {adr_any}|my new address is {adr_any}|pick her up at {adr_any} please|we live at {adr_any} now|resident of {adr_any}|home visit at {adr_any}
+fax {phone}|whatsapp {phone}|cell: {phone}|dial {phone}|tel. {phone}|the best number is {phone}|my mobile: {phone}|phone number on file: {phone}
+my iban is {id}|account {id}|account number {id}|card number {id}|social security number {id}|health insurance id {id}|the number on my card is {id}|driving licence {id}|nhs number {id}|member id {id}|policy {id}|steuernummer {id}|my tax number is {id}|dni {id}|nino {id}|kontonummer {id}
+reply to {email} please|cc {email}|forward it to {email}|login is {email}|e-mail: {email}|{email} is my address
+der Patient heißt {name}|das ist für {name}|wir wohnen in der {adr_any}|Anschrift: {adr_any}|Ruf mich an: {phone}|le patient s'appelle {name}|c'est pour {name}|adresse : {adr_any}|appelez-moi au {phone}|el paciente se llama {name}|es para {name}|dirección: {adr_any}|llámeme al {phone}|abito in {adr_any}|mi chiamo {name}|mieszkam przy {adr_any}|ik woon op {adr_any}
+我叫{nzh}|我叫{nzh}，电话{phone}|患者{nzh}今天来复查|我是{nzh}|{nzh}先生您好|{nzh}女士的报告|请联系{nzh}，电话{phone}|我的名字是{nzh}
+"""
 WITHOUT = """
+it is {w} by the {w}|it is {w} and {w} in the {w}|{w} {w}, it is {w} by {w} {w}|this is {w} {w} {w}|i am {w} about the {w}|is it {w} {w} or {w}|the {w} is {w} by {w}|{w} {w} im {w} {W} was {w} ich {w}|die {W} im {w} {W}|was ist mit {w} {W} am {w} {W}|der {W} {w} im {W}, {w} {w}|{W} {w} in der {W} {w}|bei {w} {W} im {w} {W} {w} Sie
+{W} {w}, z. B. {w} {w}|{w} {w}, d. h. {w} {w} {w}|{w}, e. g. {w} {w}|{w} {w}, p. ex. {w}|{W} {w} u. a. {w} {w}|{W} {w} i. d. R. {w}|{W} {w} {w} {w} {w}, {w}.|{W} {w} {w}. {W} {w}, {w} {w}, {w}.|{W}, {w} {w} {w}|{W} {w} {w}: {w} {w}|{w}, {w} {w}, {w}
+{w} {w} {w} {w} {w}|{W} {w} {w} {w}, {w} {w}|nurse {w} {w}, {w} {w} {w}|Nurse {w} {w}, "{w} {w}?"|doctor {w} {w} {w} {w}.|Dr {w} {w} {w}|der {W} {w} {n} {W}|Die {W} {w} {n} {W}, {w} {w}|Das {W} {w} {n} {W} im {W}.|{W} {w} {n} {w} {w}|{W} {w}'{w} {w} {w} {w}, {w} {w}|{w} {n} {w}, {n} {w}|{W} {w} {w} {W} {w}.|ein {W} {w} die {W} {w}|i {w} {w} the {w} {w}|{w} ki {w} {n} {w}
+may i walk up the hill in the park|will the young baker rest this summer|mark the page with a rose|the ward is on the west side|hope to see you in june|the walker and the stone path|the pulse was {n}, {n} and {n} on {n} days|scores of {n} {n} {n} {n} {n}|{n} patients, {n} beds, {n} nurses|on {n}/{n}/20{n} at {n}:{n}|ticket {code}, room {n}, floor {n}|March {n}, {n} beds|Model {n}, Version {n}|Stage {n} and Type {n} diabetes|Vitamin B{n} and Omega {n}|Level {n}, Desk {n}|我今天头很痛怎么办|检查之前要不要空腹|请问什么时候可以复查|这个药一天吃几次
 can i stop {med} before the stress test or not|is it normal to feel dizzy after {med}|i take {n} mg twice, {n}-{n} hours apart, since {n}-{n}-{n}|my bp was {n}/{n} at {t} and {n}/{n} at {t}|booking {code} says bed {n} ward {n}
 my report token is {n}-{code} and the lab ticket is RX-{code}|helpline {n}{n} did not answer me yesterday evening|helpline 1122 is busy|helpline 911|my creatinine is {d} and egfr {n}, is contrast still fine?|the Holter box number {code} stopped at {n}:{n} last night
 does {cond} or {cond} trouble show on a scan|they said it is a {cond} cyst or maybe {cond} trouble|what about {cond} disease|the {place} clinic sent me to floor {n} room {n} near the main road|the street outside ward {n} is closed, where do i park
@@ -55,6 +70,9 @@ _ONSETS, _VOWELS, _CODAS = "b br c d dr f g gh h j k kh l m n p ph r s sh st t t
 _LASTS = ["oski", "enko", "wick", "illi", "ani", "ora", "um", "mar", "ley", "sen", "son", "mann", "ez", "ov", "ini", "er", "ton", "rane", "vik", "tesh", "olan", "lan", "", ""]
 _MEDS, _PLACES = ["pril", "olol", "statin", "zide", "dipan", "sartin", "loxan", "verol", "prine", "tamil", "rubine", "nastel", "mectol", "xaban", "cillin"], ["ford", "dale", "gard", "vik", "stow", "lon", "rin", "holt", "mere", "nesk", "ton", "burg"]
 _UR, _HI = ["فد", "رق", "نم", "رہ", "مل", "کا", "زر", "مین", "طا", "رون", "وی", "سل", "ور", "نوک", "کل", "وان", "تھر", "لی", "برک", "سی", "او", "مر"], ["फ", "द", "रि", "क", "नि", "म", "रा", "मे", "ल", "का", "ज़", "मी", "ना", "यो", "र्व", "ओ", "के", "ब्रि", "सी", "वी", "थ्रु", "वि"]
+#: Syllables of names in Han script, and everyday words that serve as names.
+_ZH = ("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗", "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华文玉建国")
+EVERYDAY = "rose baker may hope will mark young day rich grace joy cook hunter miller page park hill brook field woods stone king bishop summer winter april june sunny iris daisy hazel olive ruby pearl frank grant chase dean drew faith glen heather ivy jack jasmine lance miles neil penny rusty violet west wade ward fox fisher carter mason parker porter potter shepherd taylor turner walker weaver butcher gardner".split()
 _DIGITS = "zero one two three four five six seven eight nine".split()
 COND = ["Cushing", "Raynaud", "Baker", "Achilles", "Crohn", "Parkinson", "Alzheimer", "Hodgkin", "Graves", "Addison", "Marfan", "Down", "Bell", "Dupuytren", "Sjögren", "Wilson", "Holter"]
 
@@ -82,7 +100,16 @@ class Maker:
 
     def name(self) -> str:
         f, m, l = self._first(), self._first(), self._last()
-        return self._case(self.r.choice([f"{f} {l}"] * 6 + [f"{f} {m} {l}"] * 2 + [f"{l}, {f}", f"{l}, {f}", f"{f[0]}. {l}", f"{f[0]}. {m[0]}. {l}", f"{f} {m[0]}. {l}", f"{f}-{m} {l}"]))
+        if self.r.random() < 0.05:
+            return f"{f} {m} {self._first()} {l}"
+        if self.r.random() < 0.09:
+            out = f"{l}, {f}"
+            return out.upper() if self.r.random() < 0.2 else out
+        return self._case(self.r.choice([f"{f} {l}"] * 6 + [f"{f} {m} {l}"] * 3 + [f"{f[0]}. {l}", f"{f[0]}. {m[0]}. {l}", f"{f} {m[0]}. {l}", f"{f}-{m} {l}", f"{f} {l}-{self._last()}", self._plain_name()]))
+
+    def _plain_name(self) -> str:
+        """A name made of everyday words, as many names are."""
+        return " ".join(w.capitalize() for w in self.r.sample(EVERYDAY, 2))
 
     def email(self) -> str:
         f, l, hosts = self._first().lower(), self._last().lower(), self._word(2)
@@ -102,18 +129,28 @@ class Maker:
         d, r = self._digits, self.r
         out = r.choice([
             f"+92-3{d(2)}-{d(6)}", f"+92 3{d(2)} {d(3)} {d(3)}", f"00923{d(2)} {d(6)}", f"03{d(9)}", f"03{d(2)} {d(6)}", f"03{d(2)}/{d(6)}", f"03{d(2)}.{d(3)}.{d(3)}", f"03{d(2)}-{d(7)}", f"(0{d(2)}) {d(3)}-{d(4)}", f"07{d(3)} {d(6)}", f"+44 7{d(3)} {d(6)}",
-            f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+49 {d(2)} {d(5)} {d(3)}", f"{d(3)}-{d(4)}", f"555-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"0{d(2)} {d(7)}", f"0{d(10)}", f"0{d(3)} {d(3)} {d(3)}", "words", "urdu",
+            f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+49 {d(2)} {d(5)} {d(3)}", f"{d(3)}-{d(4)}", f"555-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"0{d(2)} {d(7)}", f"0{d(10)}", f"0{d(3)} {d(3)} {d(3)}", "words", "urdu", "any", "any", "any",
         ])
         if out == "words":
             return " ".join(r.choice(_DIGITS) for _ in range(r.choice([7, 10, 10, 11])))
         if out == "urdu":
             return f"03{d(2)} {d(6)}".translate({48 + i: 0x6F0 + i for i in range(10)})
+        if out == "any":
+            # Any other grouping: a lead, then groups of two to five digits with one kind of gap.
+            gap = r.choice([" ", " ", "-", ".", "/"])
+            return r.choice(["0", "+" + r.choice("123456789") + d(1) + gap, "00" + r.choice("123456789") + d(1) + gap]) + gap.join(d(k) for k in r.choice([(2, 3, 4), (3, 4, 4), (2, 2, 2, 2, 2), (1, 4, 4), (3, 3, 3), (4, 3, 3), (2, 7), (3, 3, 4), (5, 5)]))
         return out
 
     def id(self) -> str:
         d, r = self._digits, self.r
         letters = "".join(r.choice("abcdefghjkmnprstuvwxyz") for _ in range(2))
-        return r.choice([f"{d(5)}-{d(7)}-{d(1)}", f"{d(5)} {d(7)} {d(1)}", d(13), f"{d(3)} {d(3)} {d(4)}", f"9{d(2)} {d(3)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{letters} {d(7)}", f"{letters.upper()}{d(7)}", f"{letters.upper()} {d(7)}", f"{letters[0].upper()}{d(9)}"])
+        return r.choice([f"{d(5)}-{d(7)}-{d(1)}", f"{d(5)} {d(7)} {d(1)}", d(13), f"{d(3)} {d(3)} {d(4)}", f"9{d(2)} {d(3)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{letters} {d(7)}", f"{letters.upper()}{d(7)}", f"{letters.upper()} {d(7)}", f"{letters[0].upper()}{d(9)}", self._long_id(letters)])
+
+    def _long_id(self, letters: str) -> str:
+        """Numbers of cards and accounts: long, whole or in groups of four, with or without letters."""
+        d, r = self._digits, self.r
+        groups = r.choice([" ", "", "-"]).join(d(4) for _ in range(r.choice([4, 4, 5])))
+        return r.choice([d(r.randrange(14, 24)), groups, f"{letters.upper()}{d(2)}" + r.choice(["", " "]).join([""] + [d(4) for _ in range(r.choice([4, 5]))]), f"{letters.upper()}{d(2)}{letters.upper()}{letters.upper()}{d(14)}", f"{d(2)} {d(6)} {letters[0].upper()} {d(3)}", f"{letters[0].upper()}{d(2)}{letters[1].upper()}{d(5)}"])
 
     def _place(self) -> str:
         return self._word(self.r.choice([1, 2])).capitalize() + self.r.choice(_PLACES)
@@ -122,7 +159,15 @@ class Maker:
         n, p, r = (lambda k=190: str(self.r.randrange(1, k))), self._place(), self.r
         road = r.choice(["Road", "Street", "street", "Lane", "Crescent", "Avenue", "Drive", "Close"])
         out = r.choice([f"{n()} {p} {road}", f"{n()} {p} {road}", f"{n()} {p} Ave Apt {n(30)}", f"Flat {n(30)}, {n()} {p} {road}", f"Unit {n(30)}/{n()} {p} {road}", f"House {n()}-{r.choice('ABCD')}, Street {n(20)}, {p} Colony", f"House {n()}, Block {r.choice('ABC')}, {p} Town", f"Apt {n(30)}, {n()} {p} {road}"])
-        return self._case(out) if r.random() < 0.5 else out
+        return self._case(out) if r.random() < 0.8 else out
+
+    def adr_any(self) -> str:
+        """An address of no country in particular: words and a house number, perhaps with a postal code and a town."""
+        n, p, q, r = f"{self.r.randrange(1, 250)}{self.r.choice(['', '', '', 'a', 'B', 'C'])}", self._place(), self._word(self.r.choice([1, 2, 2])).capitalize(), self.r
+        lead = self._word(1).capitalize()
+        street = r.choice([f"{lead} {p} {n}", f"{lead} {p} {n}", f"{p} {n}", f"{n} {p} {lead}", f"{n} {p} Street", f"{n} {p} Road", f"{lead} {q} {p} {n}", f"{n}/{r.randrange(1, 40)} {p} Street"])
+        post = r.choice([self._digits(5), self._digits(4), self._digits(6)])
+        return r.choice([street, f"{street}, {post} {q}", f"{street}, {q}", f"{street}, {q} {post}"]) if any(w in street for w in (" Street", " Road")) else r.choice([f"{street}, {post} {q}", f"{street}, {post} {q}", f"{street}, {q}"])
 
     def adr_de(self) -> str:
         n, p = self.r.randrange(1, 190), self._place()
@@ -146,6 +191,8 @@ class Maker:
             return self.name(), "name"
         if slot in ("first", "last"):
             return self._case(self._first() if slot == "first" else self._last()), "name"
+        if slot == "nzh":
+            return r.choice(_ZH[0]) + "".join(r.choice(_ZH[1]) for _ in range(r.choice([1, 2, 2]))), "name"
         if slot == "nur" or slot == "nhi":
             part = lambda: "".join(r.choice(_UR if slot == "nur" else _HI) for _ in range(r.choice([2, 2, 3])))
             return f"{part()} {part()}", "name"
@@ -165,6 +212,9 @@ class Maker:
             return r.choice(COND), None
         if slot == "code":
             return self._digits(r.choice([4, 5, 6, 7])), None
+        if slot in "wW":
+            word = self._word(r.choice([1, 1, 2])) + r.choice(["", "", "ing", "ed", "e", "en", "s", "ung", "ar", "na", "ta", "a", "o"])
+            return (word.capitalize() if slot == "W" else word), None
         if slot == "t":
             return f"{r.randrange(0, 24):02d}{r.choice(['00', '15', '30', '45'])}", None
         return (f"{r.randrange(1, 99)}.{r.randrange(0, 9)}" if slot == "d" else str(r.choice([r.randrange(1, 60), r.randrange(1, 200)]))), None
@@ -183,9 +233,27 @@ class Maker:
                     if core[0].isupper() or german and self.r.random() < 0.35:
                         new = new.capitalize()
                 word = word.replace(core, new)
+            if self.r.random() < 0.05:
+                word = f"{self.r.randrange(1, 120)} {word}"
             out.append(word)
         text = " ".join(out)
-        return text.capitalize() if self.r.random() < 0.3 else text
+        return text[:1].upper() + text[1:] if self.r.random() < 0.6 else text
+
+    def _with_piece(self, sentence: str, spans: list[tuple[str, int, int]], at: int) -> str:
+        """The sentence with a piece of personal information between any two of its words; its context tells nothing, so
+        only pieces are taken that tell themselves by their shape."""
+        words = sentence.split(" ")
+        k = self.r.randrange(len(words) + 1)
+        piece, kind = self.fill(self.r.choice(["phone", "email", "addr", "adr_any"]))
+        if self.r.random() < 0.5:
+            piece, kind = " ".join([self._first(), *([self._first()] if self.r.random() < 0.2 else []), self._last()]), "name"
+        before, after = " ".join(words[:k]), " ".join(words[k:])
+        if before and before[-1].isalnum() and self.r.random() < 0.15:
+            before += ","
+        start = at + len(before) + bool(before)
+        spans.append((kind, start, start + len(piece)))
+        gap = "" if not after or after[0] in ".,;:!?" else self.r.choice([" ", " ", " ", ", "])
+        return f"{before} {piece}{gap}{after}" if before else f"{piece}{gap}{after}"
 
     def turn(self) -> tuple[str, list[tuple[str, int, int]]]:
         text, spans = "", []
@@ -193,7 +261,10 @@ class Maker:
             text += self.r.choice([" ", ". ", "\n", " "]) if k else ""
             if self.r.random() < 0.35:
                 lang, sentence = self.r.choice(_PLAIN)
-                text += self._strange(sentence, lang == "de")
+                sentence = self._strange(sentence, lang == "de")
+                if self.r.random() < 0.5:
+                    sentence = self._with_piece(sentence, spans, len(text))
+                text += sentence
                 continue
             template = self.r.choice(_WITH if self.r.random() < 0.7 else _WITHOUT)
             if template in _HARMLESS and self.r.random() < 0.5:
@@ -210,7 +281,7 @@ class Maker:
         return text, spans
 
 
-_WITH = [t.strip() for line in WITH.strip().splitlines() for t in line.split("|") if t.strip()]
+_WITH = [t.strip() for line in (WITH + WITH_MORE).strip().splitlines() for t in line.split("|") if t.strip()]
 _WITHOUT = [t.strip() for line in WITHOUT.strip().splitlines() for t in line.split("|") if t.strip()]
 
 _PLAIN = [(lang, part.strip() + end) for lang, body in SEEDS.items() for part in body.replace("؟", ".").replace("۔", ".").replace("।", ".").replace("\n", " ").split(".") if len(part) > 12 for end in (".", "")]
@@ -226,3 +297,17 @@ def literal_words() -> set[str]:
             if i % 2 == 0:
                 out.update("".join(c if c.isalpha() or c == "'" or ord(c) > 0x900 else " " for c in part.lower()).split())
     return out
+
+
+@lru_cache(1)
+def introductions() -> frozenset[tuple[str, str]]:
+    """The two words before a name in the templates; the first may be missing."""
+    out = set()
+    for template in _WITH:
+        parts = template.replace("}", "{").split("{")
+        for i in range(1, len(parts), 2):
+            if parts[i] in ("name", "first", "last") and parts[i - 1].strip():
+                words = parts[i - 1].lower().split()
+                if words[-1][-1].isalpha() and parts[i - 1][-1] == " ":
+                    out.add((words[-2] if len(words) > 1 else "", words[-1]))
+    return frozenset(out)

@@ -90,17 +90,22 @@ def test_marginals_are_probabilities(spans):
 
     turn = personal.Turn("my name is Zubin Kor, call 0399 555077")
     turn.spans = sorted(turn.spans, key=lambda s: len(s[3]))[:9]
-    scores = [sum(spans.weights.get(f, 0.0) for f in s[3]) for s in turn.spans]
-    total, mass = 0.0, [0.0] * len(turn.spans)
+    scores, after = spans.scores(turn), spans.weights["after"]
+    total, mass, best = 0.0, [0.0] * len(turn.spans), (-1e9, ())
     for r in range(len(turn.spans) + 1):
         for chosen in itertools.combinations(range(len(turn.spans)), r):
             taken = [k for c in chosen for k in range(turn.spans[c][0], turn.spans[c][1])]
             if len(taken) == len(set(taken)):
-                w = math.exp(sum(scores[c] for c in chosen))
-                total += w
+                kinds = ["none", *(turn.spans[c][2] for c in sorted(chosen, key=lambda c: turn.spans[c][0]))]
+                score = sum(scores[c] for c in chosen) + sum(after.get(f"{a}>{b}", 0.0) for a, b in zip(kinds, kinds[1:]))
+                best = max(best, (score, chosen))
+                total += math.exp(score)
                 for c in chosen:
-                    mass[c] += w
-    assert spans.marginals(turn) == pytest.approx([m / total for m in mass])
+                    mass[c] += math.exp(score)
+    chances, pairs = spans.marginals(turn)
+    assert chances == pytest.approx([m / total for m in mass])
+    assert sum(pairs.values()) == pytest.approx(sum(chances), abs=1e-4)
+    assert set(spans.best(turn)) == {turn.spans[c][:3] for c in best[1]}
 
 
 def test_redaction(spans):
@@ -211,4 +216,4 @@ def test_sentences_see_the_whole_text():
 
 def test_many_open_marks_take_linear_time():
     assert len(sentences(":( \u201e " * 50_000)) == 1
-    assert len(sentences("(a) " * 50_000 + "Yes. No.")) == 2
+    assert len(sentences("Look (here) " * 50_000 + "now. Then go.")) == 2
