@@ -66,6 +66,40 @@ def test_overlap_equals_brute_force(spark, monkeypatch, hot):
     assert got == brute_pairs(train, evals) and len(got) > 20
 
 
+@pytest.mark.parametrize("crowded", [overlap.CROWDED, 40, 3, 0])
+def test_covered_words_equal_brute_force(spark, monkeypatch, crowded):
+    """Pairs and covered words, also when prefixes are hot and split deeper."""
+    monkeypatch.setattr(overlap, "CROWDED", crowded)
+    rnd = random.Random(7)
+    base = [["common", "start", "of", "all", "texts", "here", *(rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 30)))] for _ in range(12)]
+    texts = [" ".join(edited(rnd, rnd.choice(base), rnd.randrange(6))) for _ in range(120)]
+    rows = [(f"i{k}", t, "l", rnd.choice(["train", "dev"]), None) for k, t in enumerate(texts[:90])]
+    queries = [(f"e{k}", t, None, None, None) for k, t in enumerate(texts[90:])]
+    train = [words(t) for _, t, _, s, _ in rows if s == "train"]
+    evals = [(i, t) for i, t, _, s, _ in rows if s == "dev"] + [(i, q) for i, q, *_ in queries]
+    spans = {tuple(t[k : k + overlap.SPAN]) for t in train if len(t) >= overlap.LEAST_WORDS for k in range(len(t) - overlap.SPAN + 1)}
+    want = set()
+    for i, t in evals:
+        ws = words(t)
+        if len(ws) >= overlap.LEAST_WORDS:
+            hit = {p for k in range(len(ws) - overlap.SPAN + 1) if tuple(ws[k : k + overlap.SPAN]) in spans for p in range(k, k + overlap.SPAN)}
+            want.add((i, len(ws), len(hit)))
+    assert {tuple(r) for r in overlap.covered(intents(spark, rows), held(spark, queries)).collect()} == want and sum(n for *_, n in want) > 50
+    got = {tuple(r) for r in overlap.found(intents(spark, rows), held(spark, queries)).collect()}
+    assert got == brute_pairs([(i, t) for i, t, _, s, _ in rows if s == "train"], evals)
+    report = overlap.report(intents(spark, rows), held(spark, queries)).agg({"n_covered": "sum", "n_links": "sum"}).first()
+    assert set(report) == {sum(n for *_, n in want), sum((a in dict(evals)) + (b in dict(evals)) for a, b in got)}
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    keys = np.zeros((4, overlap.DEPTH), np.uint32)
+    keys[0, :3], keys[1, :4], keys[2, :2], keys[3] = [1, 2, 3], [1, 2, 3, 4], [1, 9], 7
+    assert overlap.common_prefixes(keys, np.array([3, 4, 2, overlap.DEPTH])).tolist() == [0, 3, 1, 0]
+    assert overlap.common_prefixes(keys[:0], np.zeros(0, int)).tolist() == []
+
+
 def test_leads_never_miss():
     rnd = random.Random(5)
     for _ in range(1500):
