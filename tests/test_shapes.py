@@ -48,3 +48,35 @@ def test_subtypes_keep_parents(spark):
     entity = shapes.subtype(rows, "entities").collect()[0]
     assert (entity["pos1"], entity["pos2"], entity["pos3"], entity["from"], entity["upto"], entity["label"]) == (0, 0, 0, 1, 2, "L")
     assert "turns" in shapes.subtype(rows, "sessions").collect()[0]["shape"]
+
+
+def test_states_reach_down_to_the_leaves(spark):
+    """Deeper structure changes the state of what is above it, whatever the number of kinds and levels."""
+    export = lambda turns: json.dumps({"export": {"sessions": [{"turns": turns}]}})
+    payloads = [export([{"entities": [{"label": "x"}]}]), export([{"tags": ["O"]}]), export([{"role": "user"}]), export([{"tags": ["O"]}, {"entities": {"label": 3}}, {"entities": [{"span": {"from": 1}}]}, {"a": [{"b": [{"c": [{"d": 1}]}]}]}, {"e": True}, {"f": 1}])]
+    raw = spark.createDataFrame([(f"r{i}", p) for i, p in enumerate(payloads)], "raw_id string, payload string")
+    rows = shapes.explode_json(raw).collect()
+    sessions = [r["shape"] for r in sorted(rows, key=lambda r: r["root_id"]) if r["path"] == "sessions"]
+    assert sessions == [
+        "{turns:list<{entities:list<{label:s}>}>}", "{turns:list<{tags:list<s>}>}", "{turns:list<{role:s}>}",
+        "{turns:list<{a?:list<{b:list<{c:list<{d:n}>}>}>,e?:b,entities?:list<{span:{from:n}}>|lone<{label:n}>,f?:n,tags?:list<s>}>}",
+    ]
+    deep = [r for r in rows if r["path"] == "export.sessions.turns.a.b.c"]
+    assert [(r["pos"], r["attrs"]) for r in deep] == [([0, 3, 0, 0, 0], {"d": "1"})]
+
+
+def test_typed_columns_have_the_same_states(spark):
+    record = {"turns": [{"role": "user", "n": 3, "parts": [{"x": 1, "y": ["a", None]}, {"x": None, "y": []}], "meta": {"app": "web", "on": True}}, None, {"role": None, "n": 1, "parts": None, "meta": None}, {"role": "bot", "n": None, "parts": [{"x": 2, "y": ["b"]}], "meta": {"app": None, "on": False}}]}
+    schema = "id string, turns array<struct<role:string,n:int,parts:array<struct<x:int,y:array<string>>>,meta:struct<app:string,on:boolean>>>"
+    typed = spark.createDataFrame([("r0", [t and (t["role"], t["n"], t["parts"] and [(p["x"], p["y"]) for p in t["parts"]], t["meta"] and (t["meta"]["app"], t["meta"]["on"])) for t in record["turns"]])], schema)
+    got = {(r["path"], tuple(r["pos"]), r["shape"], tuple(sorted(r["attrs"].items()))) for r in shapes.typed_rows(typed, "id", {"turns": "turns"}).collect()}
+    automaton = shapes.Automaton({".turns": "turns"})
+    out = []
+    automaton.run("", shapes.parse(json.dumps(record))[1], (), {}, "", out)
+    named = {".turns.parts": "turns.parts", ".turns.parts.y": "turns.parts.y"}
+    assert got == {(named.get(kind, kind), pos, shape, tuple(sorted(attrs.items()))) for kind, pos, shape, attrs in out} and len(got) == 8
+
+
+def test_variants(spark):
+    raw = spark.createDataFrame([(f"r{i}", json.dumps({"export": {"sessions": [{"specialty": "x"}] * n}})) for i, n in enumerate((1, 2, 2))] * 2, "raw_id string, payload string")
+    assert [tuple(r) for r in shapes.variants(shapes.explode_json(raw)).collect()] == [("sessions", "{specialty:s}", 5, 3)]
