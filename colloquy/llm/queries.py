@@ -52,6 +52,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.found(table(spark, d, "intents"), table(spark, d, "eval_queries"))
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return formatting.counts(table(spark, d, "intents"), table(spark, d, "eval_queries"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_passages"))
 
@@ -65,7 +69,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_covered": p1_covered, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_covered": p1_covered, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

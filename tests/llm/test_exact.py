@@ -157,6 +157,27 @@ def test_copies(spark):
     assert formatting.found(intents(spark, []), held(spark, [])).count() == 0
 
 
+def test_words_are_counted_without_folding():
+    rnd = random.Random(9)
+    pool = [chr(rnd.randrange(32, 0x3100)) for _ in range(2000)] + list("abc de  \u00bd\u00b4\ufb01\u0323\u0301\u200d\u00ad-'") * 40
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 30))) for _ in range(2000)]
+    assert formatting.counted(texts)[3].tolist() == [len(words(t)) for t in texts]
+    # Marks in another order are the same; a mark on another letter isn't.
+    a, b, c = "a\u0301\u0323 b", "a\u0323\u0301b", "ab\u0323\u0301"
+    h = formatting.counted([a, b, c])
+    assert h[0][0] == h[0][1] != h[0][2] and formatting.same(a, b) and not formatting.same(a, c)
+
+
+def test_large_groups_are_salted(spark, monkeypatch):
+    """A third of all rows in one group, verified in parts of two rows; counts of copies add up to the rows."""
+    monkeypatch.setattr(formatting, "GROUP_ROWS", 2)
+    rows = [(f"a{k:02}", "One two three four five six" + "!" * k, "L", "train", None) for k in range(20)] + [(f"b{k}", f"one two three four five six {k}", "L", "train", None) for k in range(40)] + [("c", "short", "L", "train", None)]
+    got = {tuple(r) for r in formatting.found(intents(spark, rows), held(spark, [])).collect()}
+    assert got == {("a00", f"a{k:02}") for k in range(1, 20)}
+    told = {r["id"]: r["n_copies"] for r in formatting.counts(intents(spark, rows), held(spark, [])).collect()}
+    assert told["a00"] == 20 and sum(told.values()) == 61 and len(told) == 42
+
+
 def test_collisions_are_split(spark, monkeypatch):
     """With hashes that always collide, the comparison and the second grouping must do the work."""
     monkeypatch.setattr(formatting, "hashes", lambda texts: (np.zeros(len(texts), np.int64),) * 3)
