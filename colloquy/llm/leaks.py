@@ -2,15 +2,23 @@
 
 A document holds an item if ``WINDOW`` consecutive words of the item occur in it in the same order; case, punctuation,
 compatibility forms, invisible characters and accents don't count. A window of that size holds WINDOW - 4 shingles of
-five words, and all of them must be in the document. So the shingles are ordered by their document frequency over the
-whole corpus, each window joins by its rarest shingle alone (the necessary prefix when the whole set must be contained),
-length and position bounds drop what can't hold a full window, and the windows that are left are compared word by word.
+five words, and all of them must be in the document, side by side. So:
+
+1. One pass over the corpus cuts each document into words once. A bitmap of the items' shingles (its size is bounded, and
+   a false hit costs work only) tells the shingles that an item may have; what is kept is which of them a document has,
+   and its stretches of at least so many of them in a row, with their words. All other text is never shuffled or written.
+2. Document frequencies of the items' shingles, over all documents, order them by rarity. Each window of an item joins by
+   its rarest shingle alone, the necessary prefix when the whole set must be contained; windows with a shingle that no
+   document has are dropped before the join.
+3. Length and position bounds drop what can't hold a full window, and the windows that are left are compared word by word.
+   A place takes along the few words around it that any window could need.
 
 Null, empty and short texts hold nothing; items with fewer words than a window can't be found; tables may be empty.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +28,18 @@ from colloquy.functions.words import plain_words_of, words
 from colloquy.session import cut, spread
 
 WINDOW, SHINGLE = 12, 5
-#: Item shingles are sent to every task only up to this many (16 bytes each); beyond, both sides are shuffled.
+#: Shingles of a window.
+WHOLE = WINDOW - SHINGLE + 1
+#: Windows of items are sent to every task only up to this many; beyond, both sides are shuffled.
 SENT = 1_000_000
+#: Places of one shingle that a task of a shuffled join takes.
+PLACES = 1_000_000
+#: Bits of the bitmap for each shingle of an item, and at most (64 MB).
+BITS, MOST_BITS = 32, 1 << 29
+
+
+def _hashes(ws: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(" ".join(ws[i : i + SHINGLE])) - (1 << 63) for i in range(len(ws) - SHINGLE + 1)]
 
 
 @arrow("struct<n:int,shingles:array<bigint>>")
@@ -29,30 +47,68 @@ def _shingled(texts: list) -> list:
     out = []
     for text in texts:
         ws = words(text, accents=False)
-        out.append({"n": len(ws), "shingles": [xxhash.xxh3_64_intdigest(" ".join(ws[i : i + SHINGLE])) - (1 << 63) for i in range(len(ws) - SHINGLE + 1)] if len(ws) >= WINDOW else []})
+        out.append({"n": len(ws), "shingles": _hashes(ws) if len(ws) >= WINDOW else []})
     return out
 
 
-def _bounded(items: DataFrame) -> DataFrame:
-    """``items`` to be broadcast if there are few enough of them."""
-    return F.broadcast(items) if items.count() <= SENT else items
-
-
-def met(documents: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(doc_id, n, pos, shingle): the places where a shingle of any item occurs in a document."""
-    rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).select("doc_id", _shingled("text").alias("x"))
-    rows = rows.select("doc_id", "x.n", F.posexplode("x.shingles").alias("pos", "shingle"))
-    return rows.join(_bounded(shingles.select("shingle").distinct()), "shingle").select("doc_id", "n", "pos", "shingle")
+def bitmap(items: DataFrame) -> np.ndarray:
+    """Words of 64 bits in which each shingle of (…, shingle) has its bit; at most ``MOST_BITS`` bits reach the driver."""
+    count = items.select("shingle").distinct().count()
+    size = 1 << min(max(count * BITS, 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
+    bit = F.pmod(F.col("shingle"), F.lit(size))
+    rows = items.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(shingle, {size}) & 63 as int))")).alias("word"))
+    out = np.zeros(size >> 6, np.int64)
+    got = rows.toPandas()
+    out[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, hits, stretches): the shingles that an item may have, each once, and the stretches of ``WHOLE`` or more of
+    them in a row as (words, shingles); documents without a hit are left out."""
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(items))
+
+    @arrow("struct<hits:array<bigint>,stretches:array<struct<words:array<string>,shingles:array<bigint>>>>")
+    def told(texts: list) -> list:
+        bits, out = shared.value, []
+        last = np.uint64(len(bits) * 64 - 1)
+        for text in texts:
+            ws = words(text, accents=False)
+            if len(ws) < WINDOW:
+                out.append(None)
+                continue
+            hashes = np.array(_hashes(ws), np.int64)
+            at = hashes.view(np.uint64) & last
+            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            if not hit.any():
+                out.append(None)
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= WHOLE]
+            out.append({"hits": np.unique(hashes[hit]).tolist(), "stretches": [{"words": ws[a : b + SHINGLE - 1], "shingles": hashes[a:b].tolist()} for a, b in runs]})
+        return out
+
+    rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    return rows.select("doc_id", told("text").alias("x")).where("x is not null").select("doc_id", "x.hits", "x.stretches")
 
 
 def windows(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(item_id, start, shingle, offset): each window of an item with its rarest shingle; windows that hold a shingle
+    """(item_id, start, shingle, offset, df): each window of an item with its rarest shingle; windows that hold a shingle
     that no document has can't occur and are left out."""
-    size = WINDOW - SHINGLE + 1
     told = items.join(frequency, "shingle", "left")
-    one = told.select("item_id", "last", "shingle", F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - size + 1), F.least("ipos", F.col("last")))).alias("start"), "ipos")
+    one = told.select("item_id", "last", "shingle", F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - WHOLE + 1), F.least("ipos", F.col("last")))).alias("start"), "ipos")
     best = one.groupBy("item_id", "start").agg(F.min(F.struct("df", "shingle", "ipos")).alias("best"))
-    return best.where("best.df > 0").select("item_id", "start", "best.shingle", (F.col("best.ipos") - F.col("start")).alias("offset"))
+    return best.where("best.df > 0").select("item_id", "start", "best.shingle", (F.col("best.ipos") - F.col("start")).alias("offset"), "best.df")
+
+
+def _joined(places: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``places`` with the windows of their shingle; a shingle with very many places is spread over several tasks."""
+    size = chosen.agg(F.count("*").alias("n"), F.max("df").alias("df")).first()
+    if size["n"] <= SENT:
+        return places.join(F.broadcast(chosen), "shingle")
+    salts = 1 + size["df"] // PLACES
+    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["shingle", "salt"])
 
 
 def found(documents: DataFrame, passages: DataFrame) -> DataFrame:
@@ -60,16 +116,18 @@ def found(documents: DataFrame, passages: DataFrame) -> DataFrame:
     texts = passages.select("item_id", "text").where("item_id is not null").distinct()
     items = texts.select("item_id", _shingled("text").alias("x")).where(F.col("x.n") >= WINDOW)
     items = cut(items.select("item_id", (F.col("x.n") - WINDOW).alias("last"), F.posexplode("x.shingles").alias("ipos", "shingle")))
-    places = cut(met(documents, items))
-    frequency = places.groupBy("shingle").agg(F.count_distinct("doc_id").alias("df"))
-    chosen = windows(items, frequency)
-    start = F.col("pos") - F.col("offset")
-    maybe = places.join(chosen, "shingle").where((start >= 0) & (start + WINDOW <= F.col("n"))).select("doc_id", "item_id", "start", start.alias("at")).distinct()
-    maybe = cut(maybe)
-    held = documents.select("doc_id", "text").join(maybe.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", plain_words_of("text").alias("d"))
-    own = texts.select("item_id", plain_words_of("text").alias("i"))
-    same = F.slice("d", F.col("at") + 1, WINDOW) == F.slice("i", F.col("start") + 1, WINDOW)
-    return maybe.join(held, "doc_id").join(own, "item_id").where(same).select("doc_id", "item_id").distinct()
+    kept = cut(stretches(documents, items))
+    frequency = kept.select("doc_id", F.explode("hits").alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+    chosen = cut(windows(items, frequency))
+    # Each place with the words from WHOLE - 1 before it (or the stretch's start) to WINDOW behind.
+    runs = kept.select("doc_id", F.explode("stretches").alias("r"))
+    around = F.transform("r.shingles", lambda h, k: F.struct(h.alias("shingle"), F.least(k, F.lit(WHOLE - 1)).alias("before"), F.slice(F.col("r.words"), F.greatest(k - WHOLE + 2, F.lit(1)), F.lit(WHOLE - 1 + WINDOW)).alias("near")))
+    places = runs.select("doc_id", F.explode(around).alias("p")).select("doc_id", "p.*")
+    first = F.col("before") - F.col("offset") + 1
+    maybe = _joined(places, chosen).where((first >= 1) & (first + WINDOW - 1 <= F.size("near")))
+    maybe = maybe.select("doc_id", "item_id", "start", F.slice("near", F.greatest(first, F.lit(1)), F.lit(WINDOW)).alias("d")).distinct()
+    own = texts.select("item_id", plain_words_of("text").alias("i")).select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("i") - WINDOW, F.lit(0))), lambda k: F.slice("i", k + 1, F.lit(WINDOW)))).alias("start", "w"))
+    return maybe.join(own, ["item_id", "start"]).where(F.col("d") == F.col("w")).select("doc_id", "item_id").distinct()
 
 
 def report(pairs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -243,3 +243,10 @@ def test_leaks_without_broadcast(spark, monkeypatch):
 
 def test_json_records_stay_whole():
     assert json.loads(formatting.object_key('{"b": {"z": 1, "a": null}, "a": []}')) == {"a": [], "b": {"a": None, "z": 1}}
+
+
+def test_leaks_with_a_crowded_bitmap_and_salts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_BITS", 1 << 8)
+    monkeypatch.setattr(leaks, "SENT", 0)
+    monkeypatch.setattr(leaks, "PLACES", 1)
+    test_leaks_equal_brute_force(spark)
