@@ -238,9 +238,9 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame) -> DataFrame:
     """(keep_id, copy_id) of keyed rows, each once."""
-    kept = groups(rows)
+    kept = cut(groups(rows))
     # Groups too large for a task, by their sizes: rows and keepers get a salt there.
-    large = cut(rows.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("tasks")))
+    large = kept.where(F.col("n") > GROUP_ROWS).select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("tasks"))
     n = large.count()
     on = ["key"]
     if n:

@@ -3,8 +3,12 @@
 Each language has a zstandard compressor with a raw-content dictionary of its own text. A word costs, in a language, the
 bytes that language's compressor needs for it and its neighbours. The cheapest assignment of languages to words, with a
 price for each change, gives the segments; segments of fewer than ``LEAST_RUN`` words (names, medicines, borrowed terms)
-join their neighbours. Languages of other scripts need no compression to be told apart: Devanagari counts as Hindi,
-Arabic script as Urdu. A verdict whose margin to the runner-up is narrow is rejected: it can't overrule a label.
+join their neighbours. A word in Devanagari or Arabic script has one candidate, Hindi or Urdu; there the runner-up is the
+same compressor without a dictionary, and the margin is what the dictionary saves.
+
+A verdict whose margin is narrow is rejected: it can't overrule a label, and below ``REJECT`` (``REJECT_SCRIPT`` for Hindi
+and Urdu) it is no verdict at all, the segment is ``und``: that is how texts in other languages, or in no language, come
+out, and they are never reported. A close relative that shares most words with a known language (Marathi) passes.
 
 The dictionaries start from seed texts and grow from a bounded sample of labelled rows (``PER_LABEL`` rows of each
 label), of which only those are used whose label the seeds confirm.
@@ -40,6 +44,8 @@ CHANGE, FOREIGN, BORROWED = 8.0, 12.0, 2.5
 MISSING = 1.5
 #: Narrow margins: bytes a word by which the best language must beat the label's.
 MARGIN = 0.35
+#: Margins below which a segment has no language: in Latin script, and for Hindi and Urdu (of six words or more).
+REJECT, REJECT_SCRIPT = 0.21, 0.3
 #: A word whose rate in a second language is more than a SHARED-th of that in the first is a name; less than a STRAY-th, a stray.
 SHARED, STRAY = 4, 10
 #: Windows whose costs a worker keeps; bounds memory only.
@@ -63,6 +69,12 @@ class Languages:
             table = zstandard.ZstdCompressionDict(texts[lang].encode()[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             table.precompute_compress(level=5)
             self._compress.append(zstandard.ZstdCompressor(level=5, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self._scripts = {}
+        for lang in ("hi", "ur"):
+            table = zstandard.ZstdCompressionDict(texts[lang].encode()[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            table.precompute_compress(level=5)
+            self._scripts[lang] = zstandard.ZstdCompressor(level=5, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self._plain = zstandard.ZstdCompressor(level=5, write_content_size=False, write_checksum=False).compress
         # Words that no dictionary has are names, medicines or the like as well.
         self.known = frozenset(w for lang in LATIN for w in texts[lang].split()) - shared
         own = [frozenset(texts[lang].split()) for lang in LATIN]
@@ -163,11 +175,25 @@ class Languages:
         best = costs.index(min(costs))
         return LATIN[best], (min(costs[:best] + costs[best + 1 :]) - costs[best]) / len(ws)
 
+    def saved(self, ws: list[str], lang: str) -> float:
+        """Bytes a word that the dictionary of Hindi or Urdu saves on the words of its script."""
+        own = [w for w in ws if (_DEVANAGARI if lang == "hi" else _ARABIC).search(w)]
+        data = (" " + " ".join(own) + " ").encode()
+        return (len(self._plain(data)) - len(self._scripts[lang](data))) / max(1, len(own))
+
     def told(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """Segments over all words of a text; addresses of the net are blanked out word by word, they are no language."""
+        """Segments over all words of a text, rejected ones as ``und``; addresses of the net are blanked out word by word, they are no language."""
         if text and _NET_HINT.search(text):
             text = _NET.sub(lambda m: " ".join("0" for _ in words(m[0])), text)
-        return self.segments(words(text))
+        ws = words(text)
+        out = []
+        for a, b, lang, margin in self.segments(ws):
+            if lang in self._scripts:
+                margin = min(margin, max(0.0, self.saved(ws[a:b], lang)))
+                out.append((a, b, lang if margin >= REJECT_SCRIPT or b - a < LEAST_WORDS else "und", margin))
+            else:
+                out.append((a, b, lang if margin >= REJECT else "und", margin))
+        return _merged(out)
 
 
 _NEUTRAL = [0.0] * len(LANGS)
@@ -266,11 +292,20 @@ def records(intents: DataFrame, chat_logs: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Languages:
-    """Dictionaries from at most ``per_label`` rows of each label, chosen by hash; bounded by labels, not by rows."""
+    """Dictionaries from at most ``per_label`` rows of each label, those with the least hashes.
+
+    Labels are counted first; a frequent label's rows are cut by a hash threshold that twice as many rows pass as are
+    wanted, before anything is sorted, so no task gets all rows of a label.
+    """
     tag = F.lower(F.trim("given"))
-    order = Window.partitionBy("tag").orderBy(F.xxhash64("rec_id", "turn_pos"), "rec_id", "turn_pos", "text")
-    sample = rows.where(tag.isin([*LANGS])).select("rec_id", "turn_pos", "text", tag.alias("tag")).where(F.length("text") > 20)
-    sample = sample.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label)
+    pool = rows.where(tag.isin([*LANGS])).select("rec_id", "turn_pos", "text", tag.alias("tag"), F.xxhash64("rec_id", "turn_pos").alias("hash")).where(F.length("text") > 20)
+    counts = {r["tag"]: r["count"] for r in pool.groupBy("tag").count().collect()}  # one row a language
+    threshold = F.lit(None).cast("bigint")
+    for lang, n in counts.items():
+        least = (1 << 64) * min(1.0, (2 * per_label + 200) / n) - (1 << 63)
+        threshold = F.when(F.col("tag") == lang, F.lit(min(int(least), (1 << 63) - 1))).otherwise(threshold)
+    order = Window.partitionBy("tag").orderBy("hash", "rec_id", "turn_pos", "text")
+    sample = pool.where(F.col("hash") <= threshold).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label)
     return grown((r["text"], r["tag"]) for r in sample.select("text", "tag").orderBy("tag", "k").collect())
 
 
@@ -315,8 +350,8 @@ def found(intents: DataFrame, chat_logs: DataFrame) -> DataFrame:
     rows = records(intents, chat_logs)
     model = fit(rows)
     told = spread(rows).select("rec_id", "turn_pos", _labels("given").alias("given"), segmented(rows, model).alias("s"))
-    told = told.where(F.get("s", F.size("s") - 1)["end"] >= LEAST_WORDS)
+    told = told.where(F.get("s", F.size("s") - 1)["end"] >= LEAST_WORDS).withColumn("s", F.filter("s", lambda x: x["lang"] != "und"))
     langs = F.array_distinct(F.transform("s", lambda x: x["lang"]))
     wrong = F.col("given").isNull() | ((F.col("given") != F.get("langs", F.lit(0))) & (F.get("s", F.lit(0))["margin"] >= MARGIN))
-    told = told.withColumn("langs", langs).where((F.size("langs") > 1) | wrong)
+    told = told.withColumn("langs", langs).where((F.size("langs") > 1) | ((F.size("langs") == 1) & wrong))
     return told.select("rec_id", "turn_pos", F.explode("langs").alias("lang")).distinct()

@@ -38,17 +38,43 @@ PLACES = 1_000_000
 BITS, MOST_BITS = 32, 1 << 29
 
 
-def _hashes(ws: list[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(" ".join(ws[i : i + SHINGLE])) - (1 << 63) for i in range(len(ws) - SHINGLE + 1)]
+#: Odd multipliers of a shingle's words.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Words whose hashes a worker keeps; bounds memory only.
+KEPT = 1_000_000
+
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT:
+            self.clear()
+        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_WORDS = _Words()
+
+
+def _hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the shingle that starts at each word of all lists, one after the other; whether it lies in one list;
+    where each list starts). Words are hashed once, shingles made of their hashes."""
+    sizes = np.array([len(ws) for ws in lists], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.array([_WORDS[w] for ws in lists for w in ws] + [0] * SHINGLE, np.uint64)
+    total = len(flat) - SHINGLE
+    out = np.zeros(total, np.uint64)
+    for k in range(SHINGLE):
+        out += flat[k : k + total] * MIX[k]
+        out ^= out >> np.uint64(29)
+    inside = np.arange(total) + SHINGLE <= np.repeat(starts + sizes, sizes)
+    return out.view(np.int64), inside, starts
 
 
 @arrow("struct<n:int,shingles:array<bigint>>")
 def _shingled(texts: list) -> list:
-    out = []
-    for text in texts:
-        ws = words(text, accents=False)
-        out.append({"n": len(ws), "shingles": _hashes(ws) if len(ws) >= WINDOW else []})
-    return out
+    lists = [words(text, accents=False) for text in texts]
+    hashes, _, starts = _hashes(lists)
+    return [{"n": len(ws), "shingles": hashes[a : a + len(ws) - SHINGLE + 1].tolist() if len(ws) >= WINDOW else []} for ws, a in zip(lists, starts.tolist())]
 
 
 def bitmap(items: DataFrame) -> np.ndarray:
@@ -70,22 +96,20 @@ def stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     @arrow("struct<hits:array<bigint>,stretches:array<struct<words:array<string>,shingles:array<bigint>>>>")
     def told(texts: list) -> list:
-        bits, out = shared.value, []
-        last = np.uint64(len(bits) * 64 - 1)
-        for text in texts:
-            ws = words(text, accents=False)
+        bits, out = shared.value, [None] * len(texts)
+        lists = [words(text, accents=False) for text in texts]
+        hashes, inside, starts = _hashes(lists)
+        at = hashes.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+        hit = inside & ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0)
+        row = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+        for k in np.unique(row[hit]).tolist():
+            ws, low = lists[k], int(starts[k])
+            own, found_ = hashes[low : low + len(ws)], hit[low : low + len(ws)]
             if len(ws) < WINDOW:
-                out.append(None)
-                continue
-            hashes = np.array(_hashes(ws), np.int64)
-            at = hashes.view(np.uint64) & last
-            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-            if not hit.any():
-                out.append(None)
                 continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], found_.astype(np.int8), [0]])))
             runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= WHOLE]
-            out.append({"hits": np.unique(hashes[hit]).tolist(), "stretches": [{"words": ws[a : b + SHINGLE - 1], "shingles": hashes[a:b].tolist()} for a, b in runs]})
+            out[k] = {"hits": np.unique(own[found_]).tolist(), "stretches": [{"words": ws[a : b + SHINGLE - 1], "shingles": own[a:b].tolist()} for a, b in runs]}
         return out
 
     rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))

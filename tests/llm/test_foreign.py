@@ -2,7 +2,8 @@
 
 import re
 
-from colloquy.llm import personal
+from colloquy.llm import language, personal
+from colloquy.llm.seeds import SEEDS
 
 MARKED = """
 Hey, quick one. Could somebody leave a voicemail on [phone:+31 6 4821 7750] about the ECG?
@@ -83,3 +84,25 @@ def test_spans_by_shape():
     }
     for text, want in cases.items():
         assert [text[a:b] for _, a, b in personal.spans(model, text)] == [want]
+
+
+OTHERS = [
+    "Мне нужно записаться на приём к врачу на следующей неделе пожалуйста", "Ik heb al drie dagen pijn op de borst en weet niet wat ik moet doen", "أشعر بألم شديد في صدري منذ ثلاثة أيام ولا أعرف ماذا أفعل",
+    "Ho un forte dolore al petto da tre giorni e non so cosa fare", "Tenho uma dor forte no peito há três dias e não sei o que fazer", "Üç gündür göğsümde şiddetli bir ağrı var ne yapmam gerekiyor",
+    "Jag har haft ont i bröstet i tre dagar och vet inte vad jag ska göra", "Mam silny ból w klatce piersiowej od trzech dni i nie wiem co robić", "zxqv blorp wug fep tiz kromulent snark",
+]
+KNOWN = {
+    "I have had a strong pain in my chest for three days and don't know what to do": "en", "Seit drei Tagen habe ich starke Schmerzen in der Brust und weiß nicht was ich tun soll": "de",
+    "J'ai une forte douleur à la poitrine depuis trois jours et je ne sais pas quoi faire": "fr", "Tengo un dolor fuerte en el pecho desde hace tres días y no sé qué hacer": "es", "mere seene mein teen din se bohat dard hai aur mujhe nahi pata kya karoon": "ur-latn",
+    "मेरे सीने में तीन दिन से बहुत दर्द है और मुझे नहीं पता क्या करूँ": "hi", "میرے سینے میں تین دن سے شدید درد ہے اور مجھے نہیں معلوم کیا کروں": "ur",
+}
+
+
+def test_other_languages_are_rejected(spark):
+    """Also without a label; texts in known languages and other words than the seeds' keep theirs."""
+    model = language.Languages({lang: " ".join(language.words(text)) for lang, text in SEEDS.items()})
+    assert [{lang for _, _, lang, _ in model.told(t)} for t in OTHERS] == [{"und"}] * len(OTHERS)
+    assert {t: [lang for _, _, lang, _ in model.told(t)] for t in KNOWN} == {t: [lang] for t, lang in KNOWN.items()}
+    intents = spark.createDataFrame([(f"o{i}", t, None, 1) for i, t in enumerate(OTHERS)] + [(lang, t, None, 1) for t, lang in KNOWN.items()], "id string, text string, lang string, given int")
+    logs = spark.createDataFrame([], "session_id string, turns array<struct<role:string,text:string,lang:string>>")
+    assert {(r["rec_id"], r["lang"]) for r in language.found(intents, logs).collect()} == {(lang, lang) for lang in KNOWN.values()}
