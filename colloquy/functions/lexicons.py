@@ -56,7 +56,7 @@ ASKING = ["tell", "show", "give", "explain"]
 
 # Rule intents.
 META_PHRASES = [
-    "who are you", "what are you", "what is medfaq", "what's medfaq", "whats medfaq", "what is your name", "what's your name", "whats your name", "your name",
+    "who are you", "what are you", "what is your name", "what's your name", "whats your name", "your name",
     "who made you", "who built you", "who created you", "who developed you", "who designed you", "tell me about yourself", "introduce yourself", "are you a robot",
     "are you a bot", "are you ai", "are you a human", "are you human", "are you a doctor", "are you a real doctor", "are you real", "what model are you",
     "are you chatgpt", "are you gpt", "are you claude", "are you a language model",

@@ -112,15 +112,16 @@ def question_type(c: Column) -> Column:
     return out.when(bare.contains(" or ") & marked, "choice").when(first.isin(L.AUXILIARIES), "yes_no").when(first.isin(L.ASKING), "what").when(marked, "yes_no").otherwise("statement")
 
 
-def rule_intent(c: Column) -> Column:
-    """meta, question, greeting, thanks, frustration or help, by ordered rules."""
+def rule_intent(c: Column, product: str | None = None) -> Column:
+    """meta, question, greeting, thanks, frustration or help, by ordered rules; asking what ``product`` is counts as meta."""
+    meta = [*L.META_PHRASES, *(f"{what} {product.lower()}" for what in ("what is", "what's", "whats") if product)]
     t = F.regexp_replace(F.regexp_replace(basic_clean(c), r"[?!.,]+$", ""), r"\s+", " ")
     found = F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0))
     short = F.size(found) <= 5
     opens = lambda words, gap: reduce(lambda a, b: a | b, [(t == w) | t.startswith(w + gap) for w in words])
     has = lambda words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
     return (
-        F.when(t == "", "question").when(has(L.META_PHRASES), "meta").when(F.arrays_overlap(found, F.array(*map(F.lit, L.MEDICAL_HINTS))), "question")
+        F.when(t == "", "question").when(has(meta), "meta").when(F.arrays_overlap(found, F.array(*map(F.lit, L.MEDICAL_HINTS))), "question")
         .when(short & opens(L.GREETINGS, " "), "greeting").when(short & opens(L.THANKS, " "), "thanks").when(has(L.FRUSTRATION), "frustration").when(short & opens(L.HELP, ""), "help").otherwise("question")
     )
 

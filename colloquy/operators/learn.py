@@ -6,11 +6,17 @@ bounded input whose bound is a parameter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from colloquy.functions.lazy import arrow
+from colloquy.session import cut
+
 D2, D3 = 0.5, 0.8
 
 
@@ -162,24 +168,67 @@ def neighbours(vectors: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
 # ---- factorisation
 
 
-def latent(weights: DataFrame, k: int = 12, vocabulary: int = 2_000) -> tuple[list[str], np.ndarray]:
-    """(terms, loadings): right singular vectors of the document-term matrix (doc, term, w).
+def latent(weights: DataFrame, k: int = 12, over: int = 10, powers: int = 4, key: str = "doc") -> tuple[DataFrame, np.ndarray]:
+    """((term, v), singular values): the ``k`` leading right singular vectors of the whole matrix (doc, term, w).
 
-    The Gram matrix of the ``vocabulary`` heaviest terms is summed in Spark by a join on documents; only it reaches the
-    driver, and its size doesn't depend on the number of documents.
+    Randomised range finding with power iterations. Both long factors stay relations: a product with the matrix is a join
+    and a sum, with its transpose another; only Gram matrices of k + ``over`` columns reach the driver, whatever the
+    number of documents and terms. Start vectors are hashes of the terms. Signs: each vector's largest entry is positive.
     """
-    top = weights.groupBy("term").agg(F.sum(F.col("w") * F.col("w")).alias("m")).orderBy(F.desc("m"), "term").limit(vocabulary)
-    kept = weights.join(F.broadcast(top.select("term")), "term")
-    gram = kept.join(kept.select("doc", F.col("term").alias("other"), F.col("w").alias("u")), "doc").where("term <= other").groupBy("term", "other").agg(F.sum(F.col("w") * F.col("u")).alias("g"))
-    rows = gram.collect()
-    terms = sorted({r["term"] for r in rows})
-    at = {t: i for i, t in enumerate(terms)}
-    matrix = np.zeros((len(terms), len(terms)))
-    for r in rows:
-        matrix[at[r["term"]], at[r["other"]]] = matrix[at[r["other"]], at[r["term"]]] = r["g"]
-    values, vectors = np.linalg.eigh(matrix)
+    size = k + over
+    columns = range(size)
+    weights = cut(weights.select(key, "term", "w"))
+    start = F.array(*[F.xxhash64("term", F.lit(c)) / float(1 << 63) for c in columns])
+
+    def product(vectors: DataFrame, on: str, to: str) -> DataFrame:
+        joined = weights.join(vectors, on)
+        return joined.groupBy(to).agg(F.array(*[F.sum(F.col("w") * F.get("v", F.lit(c))) for c in columns]).alias("v"))
+
+    def gram(vectors: DataFrame) -> np.ndarray:
+        """Sum of outer products: each partition sends one small matrix."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((size, size))
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(batch.column(0).to_pylist(), float)
+                    out += x.T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        return sum((np.array(r["g"]) for r in vectors.select("v").mapInArrow(each, "g array<double>").collect()), np.zeros(size * size)).reshape(size, size)
+
+    def times(vectors: DataFrame, of: str, matrix: np.ndarray) -> DataFrame:
+        @arrow("array<double>")
+        def each(batch: list) -> list:
+            return (np.array(batch, float) @ matrix).tolist() if batch else []
+
+        return vectors.select(of, each("v").alias("v"))
+
+    def orthonormal(vectors: DataFrame, of: str) -> DataFrame:
+        values, basis = np.linalg.eigh(gram(vectors))
+        good = values > max(values.max(), 0.0) * 1e-12
+        scale = np.zeros((size, size))
+        scale[:, good] = basis[:, good] / np.sqrt(values[good])
+        return times(vectors, of, scale)
+
+    terms = weights.select("term").distinct().select("term", start.alias("v"))
+    for _ in range(powers):
+        terms = orthonormal(cut(product(product(terms, "term", key), key, "term")), "term")
+    docs = cut(product(terms, "term", key))
+    values, basis = np.linalg.eigh(gram(docs))
     order = np.argsort(-values)[:k]
-    return terms, vectors[:, order]
+    order = order[values[order] > max(values.max(), 0.0) * 1e-9]
+    found = cut(times(terms, "term", basis[:, order]))
+    tops = found.agg(F.array(*[F.max_by(F.get("v", F.lit(c)), F.struct(F.abs(F.get("v", F.lit(c))), "term")) for c in range(len(order))]).alias("t")).first()["t"] if len(order) else []
+    signs = [-1.0 if (t or 0) < 0 else 1.0 for t in tops]
+    return found.select("term", F.array(*[F.get("v", F.lit(c)) * x for c, x in enumerate(signs)]).alias("v")), np.sqrt(np.maximum(values[order], 0))
+
+
+def projected(rows: DataFrame, loadings: DataFrame, k: int, key: str = "doc") -> DataFrame:
+    """(key, v): rows (key, term, w) in the latent space, at length one; rows without a known term are left out."""
+    sums = rows.join(loadings, "term").groupBy(key).agg(F.array(*[F.sum(F.col("w") * F.get("v", F.lit(c))) for c in range(k)]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
+    return sums.select(key, F.transform("v", lambda x: x / norm).alias("v"))
 
 
 # ---- text graphs
@@ -263,6 +312,72 @@ def byte_pairs(counts: dict[str, int], merges: int = 500, least: int = 2) -> lis
     return out
 
 
+#: Distinct words whose merges are worked out on the driver at most (tens of MB); with more they stay a relation.
+DRIVER_WORDS = 200_000
+
+
+def merged_pairs(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[str, str]]:
+    """The merges over all words of (word, n), the same whichever way they are worked out: few words are counted on the
+    driver; beyond that each round sums the pairs in Spark, takes the most frequent one and applies it, and only that
+    pair reaches the driver. ``</w>`` ends each word."""
+    if counts.count() <= DRIVER_WORDS:
+        return byte_pairs({r["word"]: r["n"] for r in counts.select("word", "n").collect()}, merges, least)
+    base = words = cut(counts.select(F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.array(F.lit("</w>"))).alias("parts"), "n"))
+    out: list[tuple[str, str]] = []
+    fresh: list[tuple[str, str]] = []
+    while len(out) < merges:
+        pairs = words.where(F.size("parts") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.get("parts", i - 1).alias("a"), F.get("parts", i).alias("b")))).alias("p"), "n")
+        best = pairs.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(1).collect()
+        if not best:
+            break
+        a, b = best[0]["p"]
+        out.append((a, b))
+        fresh.append((a, b))
+        words = base.select(_merging(fresh)("parts").alias("parts"), "n")
+        if len(fresh) == 20:
+            base = words = cut(words)
+            fresh = []
+    return out
+
+
+def _merging(merges: list[tuple[str, str]]):
+    """Applies merges, one after the other, each from left to right."""
+    merges = list(merges)
+
+    @arrow("array<string>")
+    def each(words: list) -> list:
+        out = []
+        for parts in words:
+            for a, b in merges:
+                if a in parts and b in parts:
+                    done: list[str] = []
+                    for x in parts:
+                        if x == b and done and done[-1] == a:
+                            done[-1] = a + b
+                        else:
+                            done.append(x)
+                    parts = done
+            out.append(parts)
+        return out
+
+    return each
+
+
+def encoded(words: list[str], merges: list[tuple[str, str]]) -> list[list[str]]:
+    """Parts of words by a list of merges: the pair of the lowest rank is joined first, at its first place."""
+    rank = {pair: k for k, pair in enumerate(merges)}
+    out = []
+    for word in words:
+        parts = [*word, "</w>"]
+        while len(parts) > 1:
+            k, at = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if k == len(rank):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        out.append(parts)
+    return out
+
+
 # ---- small networks, fitted on a bounded sample
 
 

@@ -8,17 +8,40 @@ Documents without terms count in the corpus size and the mean length, and score
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 
-from colloquy.session import spread
+from colloquy.session import cut, spread
 
 K1, B = 1.5, 0.75
 WEIGHTS = {"word": 0.20, "char": 0.45, "bm25": 0.25, "lsa": 0.05, "embed": 0.05}
 
 
+#: Rows of a side that is sent to every task at most; more are shuffled.
+SENT = 1_000_000
+
+
 def postings(docs: DataFrame, doc: str, terms: Column, name: str = "doc", tf: str = "tf") -> DataFrame:
-    """(doc, term, tf) of an array of terms."""
-    return spread(docs).select(F.col(doc).alias(name), F.explode(terms).alias("term")).groupBy(name, "term").agg(F.count("*").alias(tf))
+    """(doc, term, tf, len) of an array of terms; ``len`` is the number of the doc's terms, read off the same row."""
+    rows = spread(docs).select(F.col(doc).alias(name), terms.alias("ts")).select(name, F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    return rows.groupBy(name, "term", "len").agg(F.count("*").alias(tf)).select(name, "term", tf, "len")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is counted and small enough."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def sought(docs: DataFrame, doc: str, terms: Column, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the queries' terms only, corpus size), both from one pass over the documents: terms that no query has
+    are dropped before anything is shuffled, and the pass counts documents and terms on its way."""
+    watch = Observation()
+    wanted = small(queries.select("term").distinct())
+    rows = spread(docs).select(F.col(doc).alias("doc"), terms.alias("ts")).observe(watch, F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts").cast("bigint")), F.lit(0)).alias("total"))
+    rows = rows.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    post = cut(rows.groupBy("doc", "term", "len").agg(F.count("*").alias("tf")))
+    seen = watch.get
+    n, total = seen["n"], seen["total"]
+    return post, docs.sparkSession.createDataFrame([(n, total / n if n else 0.0)], "n bigint, avgdl double")
 
 
 def corpus_size(docs: DataFrame, post: DataFrame) -> DataFrame:
@@ -27,13 +50,11 @@ def corpus_size(docs: DataFrame, post: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, post: DataFrame, size: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(q, doc, score): Okapi BM25; repeated query terms count repeatedly."""
-    lengths = post.groupBy("doc").agg(F.sum("tf").alias("len"))
-    wanted = queries.select("term").distinct()
-    own = post.join(wanted, "term", "left_semi")
+    """(q, doc, score): Okapi BM25 of postings with lengths; repeated query terms count repeatedly."""
+    own = post.join(small(queries.select("term").distinct()), "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     # The corpus size is one row by construction, so joining it without a key is no product.
-    weighted = own.join(df, "term").join(lengths, "doc").join(F.broadcast(size))
+    weighted = own.join(df, "term").join(F.broadcast(size))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return queries.join(weighted.select("term", "doc", part.alias("part")), "term").groupBy("q", "doc").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))

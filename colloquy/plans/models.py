@@ -189,8 +189,8 @@ def dict_ner(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def lemma_stem(spark: SparkSession, d: str) -> DataFrame:
     """Lemmas, stems and canonical forms of the distinct tokens of the pairs."""
-    words = _sentences(spark, d).select(F.explode("toks").alias("token")).distinct()
-    return words.select("token", morph.lemmas("token").alias("lemma"), morph.stems("token").alias("stem"), morph.canonicals("token").alias("canonical"))
+    words = morph.lemma_of(_sentences(spark, d).select(F.explode("toks").alias("token")).distinct())
+    return words.select("token", "lemma", morph.stems("token").alias("stem"), morph.canonicals("token").alias("canonical"))
 
 
 @R.query()
@@ -226,7 +226,28 @@ def noun_verb_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def svo_triples(spark: SparkSession, d: str) -> DataFrame:
-    return spread(faqs(spark, d)).select("id", F.explode(tagging.triples_of("answer")).alias("t")).select("id", "t.*")
+    """Triples of the answers' sentences, over the tags of a hidden Markov tagger that learnt from lexicon tags."""
+    cut_ = F.transform(T.sentences(F.col("answer")), lambda s, k: F.struct(k.alias("no"), s.alias("sentence")))
+    rows = spread(faqs(spark, d)).select("id", F.explode(cut_).alias("x")).select(F.struct("id", "x.no", "x.sentence").alias("key"), T.tokens(F.col("x.sentence"), False).alias("tokens"))
+    rows = rows.where((F.length("key.sentence") >= 6) & (F.size("tokens") >= 3)).withColumnRenamed("key", "id")
+    found = tagging.triples_of(tagging.silver_tagged(rows, *tagging.silver_markov(_sentences(spark, d))))
+    negated = F.exists(T.negation_flags(T.negation_tokens(F.col("sentence"))), lambda x: x)
+    found = found.withColumnRenamed("id", "key").select("key.id", "subject", "predicate", "object", "key.sentence")
+    return found.withColumn("negated", negated)
+
+
+@R.query()
+def hmm_pos(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of speech of all distinct sentences by the hidden Markov tagger."""
+    texts = _sentences(spark, d)
+    return tagging.silver_tagged(texts.select(F.col("sid").alias("id"), F.col("toks").alias("tokens")), *tagging.silver_markov(texts)).select(F.col("id").alias("sentence"), "tags")
+
+
+@R.query()
+def triple_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(specialty, n): triples of the answers by specialty."""
+    kinds = table(spark, d, "faqs_cardiovascular").groupBy("id").agg(F.min("specialty").alias("specialty"))
+    return svo_triples(spark, d).join(kinds, "id").groupBy("specialty").agg(F.count("*").alias("n"))
 
 
 @R.query()
@@ -260,20 +281,30 @@ def lsa_topics(spark: SparkSession, d: str) -> DataFrame:
     """Six heaviest terms of each latent topic; signs are fixed by the largest loading."""
     docs = faqs(spark, d).withColumnRenamed("id", "doc")
     post = search.postings(docs, "doc", T.tokens(T.indexed(F.col("question"), F.col("answer"))))
-    terms, loadings = learn.latent(search.tfidf(post, docs.agg(F.count("*").alias("n"))))
-    rows = []
-    for k in range(loadings.shape[1]):
-        v = loadings[:, k] * np.sign(loadings[np.abs(loadings[:, k]).argmax(), k])
-        rows += [(k, terms[i], r + 1, float(v[i])) for r, i in enumerate(np.argsort(-v)[:6])]
-    return spark.createDataFrame(rows, "topic int, term string, rank int, loading double")
+    loadings, _ = learn.latent(search.tfidf(post, docs.agg(F.count("*").alias("n"))))
+    one = loadings.select("term", F.posexplode("v").alias("topic", "loading"))
+    order = Window.partitionBy("topic").orderBy(F.desc(F.round("loading", 9)), "term")
+    return one.withColumn("rank", F.row_number().over(order)).where("rank <= 6").select("topic", "term", "rank", "loading")
 
 
 @R.query()
 def byte_pair_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Merges over the word counts of the pairs; the 50,000 most frequent words take part, a documented bound."""
-    counts = _sentences(spark, d).select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(50_000)
-    merges = learn.byte_pairs({r["w"]: r["n"] for r in counts.collect()}, 200)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "step int, left string, right string")
+    """The first 200 merges over the counts of all words of the pairs."""
+    counts = _sentences(spark, d).select(F.explode("toks").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(learn.merged_pairs(counts, 200))], "step int, left string, right string")
+
+
+@R.query()
+def byte_pair_parts(spark: SparkSession, d: str) -> DataFrame:
+    """(word, parts): all distinct words of the pairs cut by the first 200 merges."""
+    words = _sentences(spark, d).select(F.explode("toks").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    merges = learn.merged_pairs(words, 200)
+
+    @arrow("array<string>")
+    def parts(batch: list) -> list:
+        return learn.encoded(batch, merges)
+
+    return spread(words).select("word", parts("word").alias("parts"))
 
 
 @R.query()

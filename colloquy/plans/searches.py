@@ -13,7 +13,7 @@ from colloquy.functions import text as T
 from colloquy.operators import search as S
 from colloquy.plans.registry import Registry, quoted
 from colloquy.plans.texts import faqs
-from colloquy.session import table
+from colloquy.session import cut, table
 
 R = Registry()
 _STOP = quoted(L.STOPWORDS)
@@ -37,9 +37,12 @@ _RANK = lambda of, k: f"r as (select *, row_number() over (partition by q order
 
 def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    post = S.postings(docs, "doc", T.tokens(F.col("text")))
-    queries = S.postings(table(spark, d, "eval_passages").where("item_id % 20 = 0"), "item_id", T.tokens(F.col("text")), "q", "qtf")
-    return docs, post, queries
+    return docs, cut(S.postings(docs, "doc", T.tokens(F.col("text")))), _passage_terms(spark, d)
+
+
+def _passage_terms(spark: SparkSession, d: str) -> DataFrame:
+    """(q, term, qtf) of the passages whose number is divisible by 20."""
+    return S.postings(table(spark, d, "eval_passages").where("item_id % 20 = 0"), "item_id", T.tokens(F.col("text")), "q", "qtf").drop("len")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +53,9 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = faqs(spark, d).withColumnRenamed("id", "doc")
-    post = S.postings(docs, "doc", T.tokens(T.indexed(F.col("question"), F.col("answer"))))
+    post = cut(S.postings(docs, "doc", T.tokens(T.indexed(F.col("question"), F.col("answer")))))
     asked = _questions(spark, d)
-    return docs, post, asked, S.postings(asked, "q", T.tokens(F.col("query")), "q", "qtf")
+    return docs, post, asked, cut(S.postings(asked, "q", T.tokens(F.col("query")), "q", "qtf").drop("len"))
 
 
 def _word_cosine(docs: DataFrame, post: DataFrame, queries: DataFrame) -> DataFrame:
@@ -67,8 +70,9 @@ def _rounded(ranked: DataFrame) -> DataFrame:
 
 @R.query(f"with {_DOCS}, {_BM25}, {_RANK('(select q, doc, round(score, 9) as score from bm)', 10)} select q, doc, rank, round(score, 6) as score from r")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs, post, queries = _passages(spark, d)
-    scores = S.bm25(queries, post, S.corpus_size(docs, post)).withColumn("score", F.round("score", 9))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    queries = _passage_terms(spark, d)
+    scores = S.bm25(queries, *S.sought(docs, "doc", T.tokens(F.col("text")), queries)).withColumn("score", F.round("score", 9))
     return _rounded(S.top_k(scores, 10))
 
 

@@ -32,17 +32,25 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that setting is absent,
-    as in local tests.
-    """
+    """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"colloquy-{uuid.uuid4().hex}"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one if the whole session is one
+    process on one machine, as in tests; on a cluster an error, as executors don't share their temporary folders."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master == "local" or master.startswith("local["):
+        return os.path.join(tempfile.gettempdir(), f"colloquy-{uuid.uuid4().hex}")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.session import shared_folder
 
 def stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A table's files as a stream; timestamps without a zone are read as UTC, as watermarks need one."""
@@ -22,8 +22,7 @@ def stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder for checkpoints and results: the cluster's shared one where it names one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(df: DataFrame, mode: str, key: list[str] | None = None, order: str | None = None) -> DataFrame:
