@@ -184,8 +184,17 @@ def is_cue(t: Column) -> Column:
     return t.isin(L.NEGATION_CUES) | (t.endswith("nt") & (t != "isnt") & (F.length(t) > 3))
 
 
-def negation_flags(ts: Column) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def negation_flags(tokens_: Column) -> Column:
     """For each token whether one of the four tokens before it is a cue with no boundary in between."""
+    return bound(tokens_, _negation_flags)
+
+
+def _negation_flags(ts: Column) -> Column:
     def flag(t: Column, j: Column) -> Column:
         open_ = lambda i: is_cue(F.get(ts, i)) & ~F.exists(F.slice(ts, i + 2, j - i), lambda x: x.isin(L.NEGATION_BOUNDARIES))
         return F.when(j == 0, F.lit(False)).otherwise(F.exists(F.sequence(F.greatest(F.lit(0), j - L.NEGATION_WINDOW), F.greatest(F.lit(0), j - 1)), open_))
@@ -195,7 +204,10 @@ def negation_flags(ts: Column) -> Column:
 
 def sentiment_score(c: Column) -> Column:
     """Sum of word scores, flipped when negated, times the run of intensifiers and diminishers right before."""
-    ts = negation_tokens(c)
+    return bound(negation_tokens(c), _sentiment_of)
+
+
+def _sentiment_of(ts: Column) -> Column:
     flags = negation_flags(ts)
     scores = F.create_map(*[F.lit(x) for w, v in (L.POSITIVE | L.NEGATIVE).items() for x in (w, v)])
     boosts = F.create_map(*[F.lit(x) for w, v in (L.INTENSIFIERS | L.DIMINISHERS).items() for x in (w, v)])

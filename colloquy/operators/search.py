@@ -160,3 +160,45 @@ def relaxed_mover(a: DataFrame, b: DataFrame, vectors: DataFrame) -> DataFrame:
     one = both.groupBy("pair", "ta").agg((F.first("wa") * F.min("far")).alias("d")).groupBy("pair").agg(F.sum("d").alias("ab"))
     two = both.groupBy("pair", "tb").agg((F.first("wb") * F.min("far")).alias("d")).groupBy("pair").agg(F.sum("d").alias("ba"))
     return one.join(two, "pair").select("pair", ((F.col("ab") + F.col("ba")) / 2).alias("distance"))
+
+
+#: Queries whose vectors are sent to every task at a time.
+BLOCK = 4_096
+
+
+def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, itself: bool = True) -> DataFrame:
+    """(q, doc, score, rank): the ``k`` rows of (doc, v) with the largest products with each of (q, v), ties to the smaller
+    doc; without ``itself`` a query's own row is left out.
+
+    Exact, in blocks: the query set is sent ``BLOCK`` at a time, each task multiplies a batch of rows with the block and
+    keeps its best, so no pair is ever a row and what is sent doesn't grow.
+    """
+    import numpy as np
+    import pandas as pd
+
+    asked = cut(queries.select("q", "v"))
+    rows = cut(spread(docs.select("doc", "v")))
+    kinds = dict(queries.dtypes)["q"], dict(docs.dtypes)["doc"]
+    parts = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for part in range(parts):
+        held = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).collect()
+        shared = docs.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in held]), np.array([r["v"] for r in held], float)))
+
+        def each(batches, shared=shared):
+            names, matrix = shared.value
+            for pdf in batches:
+                if not len(names) or not len(pdf):
+                    continue
+                pdf = pdf.sort_values("doc")
+                docs_ = pdf["doc"].to_numpy()
+                like = np.round(matrix @ np.stack(pdf["v"].to_list()).T, 9)
+                if not itself:
+                    like[names[:, None] == docs_[None]] = -np.inf
+                best = np.argsort(-like, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"q": np.repeat(names, best.shape[1]), "doc": docs_[best].ravel(), "score": np.take_along_axis(like, best, 1).ravel()})
+                yield found[np.isfinite(found["score"])]
+
+        met = rows.mapInPandas(each, f"q {kinds[0]}, doc {kinds[1]}, score double")
+        out = met if out is None else out.unionByName(met)
+    return top_k(out, k)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.operators import shapes
-from colloquy.plans import mining, models, searches, tables, texts
+from colloquy.plans import dialogue, mining, models, searches, tables, texts
 from colloquy.plans.registry import Query, Registry
 from colloquy.session import table
 
 R = Registry()
-PARTS = [texts.R, tables.R, searches.R, models.R, mining.R, R]
+PARTS = [texts.R, tables.R, searches.R, models.R, mining.R, dialogue.R, R]
 
 
 def _as_list(v: str) -> str:

@@ -188,14 +188,12 @@ def jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
 s as (select a.vec_id as q, b.vec_id as doc, round(list_dot_product(a.v, b.v), 9) as score from n a, n b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by q order by score desc, doc) as rank from s qualify rank <= 5) select q, doc, rank, round(score, 6) as score from r""")
 def cosine_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vectors of the query set in blocks: the queries travel as arrays, every row is scanned once."""
+    """Nearest vectors of the query set, in blocks of matrix products."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform("v", lambda x: x / norm).alias("v"))
-    queries = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scores = unit.join(queries, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("doc"), F.round(dot, 9).alias("score"))
-    return _rounded(S.top_k(scores, 5))
+    unit = unit.withColumnRenamed("vec_id", "doc")
+    return _rounded(S.nearest(unit, unit.where("doc % 20 = 0").select(F.col("doc").alias("q"), "v"), 5, itself=False))
 
 
 @R.query("""with e as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), c as (select label, i, avg(x) as m from e group by label, i),
