@@ -99,7 +99,12 @@ def _compiled(rules: list[Rule]) -> Compiled:
 
 
 #: The table asked before all others: no break inside an address of the net. Its matches are found once a text.
-WEB, _WEB_HINT, _WEB_GOES_ON = regex.compile(r"(?i)(?:www|https?|@)\S*"), regex.compile(r"(?i)www|http|@"), regex.compile(r"[\p{L}\p{N}]")
+WEB, _WEB_GOES_ON = regex.compile(r"(?i)(?:www|https?|@)\S*"), regex.compile(r"[\p{L}\p{N}]")
+
+
+def _web(text: str) -> list[tuple[int, int]]:
+    low = text.lower()
+    return [m.span() for m in WEB.finditer(text)] if "@" in text or "www" in low or "http" in low else []
 
 
 def tables(caseless: bool) -> list[Rule]:
@@ -208,12 +213,17 @@ def _visible(text: str) -> tuple[str, range | np.ndarray]:
     return seen, np.delete(np.arange(len(text)), dropped) if dropped else range(len(text))
 
 
+@lru_cache(32)
+def _marks(opener: str) -> re.Pattern:
+    return re.compile("[" + re.escape(opener + PAIRS[opener]) + "]")
+
+
 def _partners(text: str, opener: str) -> dict[int, int]:
     """Where each ``opener`` is closed, nested ones counted; one pass over its marks."""
-    out, open_ = {}, []
-    for m in regex.finditer("[" + regex.escape(opener + PAIRS[opener]) + "]", text):
+    out, open_, closers = {}, [], PAIRS[opener]
+    for m in _marks(opener).finditer(text):
         i = m.start()
-        if text[i] in PAIRS[opener]:
+        if text[i] in closers:
             if open_:
                 out[open_.pop()] = i
         else:
@@ -232,7 +242,7 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
             continue
         if c not in known:
             straight = lambda j: not (text[j + 1 : j + 2].isalnum() and text[j - 1 : j].isspace())
-            known[c] = [x.start() for x in regex.finditer('"', text) if straight(x.start())] if c == '"' else _partners(text, c)
+            known[c] = [x.start() for x in re.finditer('"', text) if straight(x.start())] if c == '"' else _partners(text, c)
         if c == '"':
             k = bisect_left(known[c], i + 1)
             end = known[c][k] if k < len(known[c]) else -1
@@ -289,7 +299,7 @@ def _running(text: str, caseless: bool) -> list[int]:
     """Boundaries (ends of sentences) in running text."""
     stops, others, quoted = _tables(caseless)
     spans = _spans(text) if _PAIRED.search(text) else []
-    web = [m.span() for m in WEB.finditer(text)] if _WEB_HINT.search(text) else []
+    web = _web(text)
     ends, start, seen = [], 0, len(text.rstrip())
     k, w, core = 0, 0, (-1, 0)
     for m in _CAND.finditer(text):
