@@ -72,5 +72,15 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_report": p1_report, "p1_covered": p1_covered, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 
 
+# SQL without compatibility normalisation: of the compatibility forms only full-width ones are folded, which is what the
+# tables have. Edit distances over words, hashes of JSON objects and learnt models are beyond it.
+_WIDE, _PLAIN = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_PLAIN_WORDS = f"regexp_extract_all(strip_accents(lower(regexp_replace(translate(text, '{_WIDE}', '{_PLAIN}'), '\\p{{Cf}}', '', 'g'))), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+_WINDOWS = lambda key, of: f"select {key}, array_to_string(w[k:k + 11], ' ') as s from (select {key}, w, unnest(generate_series(1, len(w) - 11)) as k from {of} where len(w) >= 12)"
+_P8 = f"""with d as (select distinct doc_id, {_PLAIN_WORDS} as w from documents where doc_id is not null and text is not null), i as (select distinct item_id, {_PLAIN_WORDS} as w from eval_passages where item_id is not null and text is not null),
+iw as (select distinct * from ({_WINDOWS("item_id", "i")})), dw as ({_WINDOWS("doc_id", "d")}), found as (select distinct doc_id, item_id from dw join iw using (s))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sources = "(select doc_id, coalesce(min(source), '') as source from documents group by doc_id)"
+    return {"p8_found": f"{_P8} select doc_id, item_id from found", "p8_report": f"{_P8} select item_id, source, count(distinct doc_id) as n_docs from found join {sources} using (doc_id) group by all"}
