@@ -360,6 +360,9 @@ def array(classes: DataFrame, every: bool = False) -> DataFrame:
         counts = rest.groupBy(_prefix(least).alias("prefix")).agg(F.count("*").alias("rows"), F.max(F.col("side").bitwiseAND(1)).alias("own"))
         hot = cut(counts.where(F.col("rows") > CROWDED).select("prefix", "own"))
         none = hot.isEmpty()
+        # Hot prefixes are broadcast, at most a row for every CROWDED suffixes: a join that shuffles by the same prefix would
+        # take the place of the repartition, and adaptive execution may read its shuffle by mapper, so that buckets are cut.
+        hot = F.broadcast(hot)
         cool = rest if none else rest.join(hot, _prefix(least) == F.col("prefix"), "left_anti")
         got = _scan(cool.repartition(_prefix(least)).sortWithinPartitions("key"), read, least)
         out = got if out is None else out.unionByName(got)
